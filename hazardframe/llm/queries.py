@@ -2,16 +2,61 @@
 
 from __future__ import annotations
 
-from hazardframe.llm.common import table
+from pyspark.sql import functions as F
+
+from hazardframe.llm.common import fresh_path, table
 from hazardframe.llm.packing import pack_documents
 from hazardframe.llm.pii import pii_digest
+from hazardframe.llm.quality import score_quality, train_quality
 from hazardframe.llm.secrets import secret_digest
+from hazardframe.llm.token_counts import TokenLedger, counted
+from hazardframe.llm.toxicity import score_toxicity, train_chain
+
+#: Documents of fewer words are withdrawn by the second batch of op6.
+SHORT = 20
 
 
 def op4_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark, sf_dir):
+    """Three batches over the whole table: all documents in; short ones out; digits masked out of the rest.
+
+    The first batch is sent twice, as after a lost acknowledgement.
+    """
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    ledger = TokenLedger(spark, fresh_path(spark, "ledger"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    short, rest = docs.where(words < SHORT), docs.where(words >= SHORT)
+    with_digits = rest.where(F.col("text").rlike("[0-9]"))
+    masked = F.translate("text", "0123456789", "")
+    ledger.commit("load", counted(docs, 1))
+    ledger.commit("withdraw", counted(short, -1))
+    ledger.commit("mask", counted(with_digits, -1), counted(with_digits, 1, text=masked))
+    ledger.commit("load", counted(docs, 1))
+    return ledger.totals()
+
+
+OP6_SQL = r"""
+with d as (select source, lang, coalesce(text, '') as text from documents),
+ n as (select source, lang, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from d),
+ m as (select source, lang, case when regexp_matches(text, '[0-9]') then translate(text, '0123456789', '') else text end as text
+       from n where words >= 20),
+ v as (select source, lang, 'words-1' as tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n from m
+       union all select source, lang, 'bytes-1', strlen(text) from m)
+select source, lang, tokenizer, cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_tokens
+from v group by source, lang, tokenizer
+"""
+
+
+def op7_toxicity(spark, sf_dir):
+    """The chain over the two marks of ``labels``: low quality first, then toxic."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = train_chain(docs, labels, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    return score_toxicity(docs, chain)
+
+
 def op8_pii(spark, sf_dir):
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -20,11 +65,19 @@ def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op4_secrets": op4_secrets,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_token_counts": OP6_SQL}
