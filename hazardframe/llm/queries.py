@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardframe.llm.common import fresh_path, table
+from hazardframe.llm.fingerprint import fingerprint_documents
 from hazardframe.llm.packing import pack_documents
 from hazardframe.llm.pii import pii_digest
 from hazardframe.llm.quality import score_quality, train_quality
@@ -16,6 +17,10 @@ from hazardframe.llm.toxicity import score_toxicity, train_chain
 SHORT = 20
 
 
+def op3_fingerprint(spark, sf_dir):
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_fingerprint": op3_fingerprint,
     "op4_secrets": op4_secrets,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
