@@ -10,6 +10,7 @@ from hazardframe.llm.packing import pack_documents
 from hazardframe.llm.pii import pii_digest
 from hazardframe.llm.quality import score_quality, train_quality
 from hazardframe.llm.secrets import secret_digest
+from hazardframe.llm.simhash import near_duplicates
 from hazardframe.llm.token_counts import TokenLedger, counted
 from hazardframe.llm.toxicity import score_toxicity, train_chain
 
@@ -17,6 +18,10 @@ from hazardframe.llm.toxicity import score_toxicity, train_chain
 SHORT = 20
 
 
+def op2_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark, sf_dir):
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_fingerprint": op3_fingerprint,
     "op4_secrets": op4_secrets,
     "op6_token_counts": op6_token_counts,
