@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazardframe.llm.common import fresh_path, table
+from hazardframe.llm.decontaminate import find_leaks
 from hazardframe.llm.fingerprint import fingerprint_documents
 from hazardframe.llm.packing import pack_documents
 from hazardframe.llm.pii import pii_digest
@@ -30,6 +31,10 @@ def op4_secrets(spark, sf_dir):
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark, sf_dir):
     """Three batches over the whole table: all documents in; short ones out; digits masked out of the rest.
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_fingerprint": op3_fingerprint,
     "op4_secrets": op4_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
