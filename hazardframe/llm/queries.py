@@ -12,6 +12,7 @@ from hazardframe.llm.pii import pii_digest
 from hazardframe.llm.quality import score_quality, train_quality
 from hazardframe.llm.secrets import secret_digest
 from hazardframe.llm.simhash import near_duplicates
+from hazardframe.llm.suffix_dedup import repeat_digest
 from hazardframe.llm.token_counts import TokenLedger, counted
 from hazardframe.llm.toxicity import score_toxicity, train_chain
 
@@ -19,6 +20,10 @@ from hazardframe.llm.toxicity import score_toxicity, train_chain
 SHORT = 20
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_fingerprint": op3_fingerprint,
     "op4_secrets": op4_secrets,

@@ -101,21 +101,37 @@ class Part:
             out.append(np.frombuffer(self.file.read(n * dtype.itemsize), dtype=dtype))
         return tuple(out)
 
+    def _joined(self, chunks: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Small chunks as one, so that a pass works on long arrays."""
+        columns = [self._get(c) for c in chunks]
+        for size, _ in chunks:
+            self.store.left += size
+        return columns[0] if len(columns) == 1 else tuple(np.concatenate(c) for c in zip(*columns, strict=True))
+
+    @staticmethod
+    def _entries(chunk: tuple) -> int:
+        first = chunk[1][0]
+        return first.size if isinstance(first, np.ndarray) else first[2]
+
     def take(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """Chunks in order, those added meanwhile too; each is dropped once read."""
-        at = 0
-        while at < len(self.chunks):
-            chunk, self.chunks[at] = self.chunks[at], None
-            at += 1
-            yield self._get(chunk)
-            self.store.left += chunk[0]
-        self.chunks = []
+        """Entries in order, those added meanwhile too; each is dropped once read."""
+        while self.chunks:
+            count, n = 0, 0
+            while count < len(self.chunks) and n < BATCH:
+                n += self._entries(self.chunks[count])
+                count += 1
+            now, self.chunks = self.chunks[:count], self.chunks[count:]
+            yield self._joined(now)
 
     def take_back(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same from the end; entries inside what is yielded keep their order."""
         while self.chunks:
-            chunk = self.chunks.pop()
-            yield self._get(chunk)
-            self.store.left += chunk[0]
+            count, n = 0, 0
+            while count < len(self.chunks) and n < BATCH:
+                count += 1
+                n += self._entries(self.chunks[-count])
+            now, self.chunks = self.chunks[-count:], self.chunks[:-count]
+            yield self._joined(now)
 
 
 class RangeMinimum:
@@ -278,7 +294,7 @@ class Sorter:
             if not tied.size or reach * 2 > self.depth:
                 break
             following = np.where(tied + reach < n, rank[np.minimum(tied + reach, n - 1)] + 1, 0)
-            by = np.lexsort((following, rank[tied]))
+            by = np.argsort(rank[tied] * (n + 1) + following)
             at, r, f = tied[by], rank[tied][by], following[by]
             new = np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]))
             first = np.append(True, r[1:] != r[:-1])
