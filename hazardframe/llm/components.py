@@ -1,11 +1,21 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table.
+
+A table of at most ``SMALL`` links is solved by one task; a larger one by rounds
+of alternating large and small stars, which stay distributed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import stored
+from hazardframe.llm.common import arrow_schema, stored
+
+#: Links that one task may hold (some tens of MB).
+SMALL = 1 << 18
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -29,20 +39,45 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return hung.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v): root is its component's least node.
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """(node, root) by union and find."""
+    schema = "node bigint, root bigint"
+    target = arrow_schema(links.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = find(parent.setdefault(u, u)), find(parent.setdefault(v, v))
+                parent[max(a, b)] = min(a, b)
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array([find(x) for x in nodes], type=pa.int64())], schema=target)
+
+    return links.coalesce(1).mapInArrow(run, schema)
+
+
+def components(links: DataFrame, small: int = SMALL) -> DataFrame:
+    """(node, root) for every node of ``links`` (u, v, both bigint): root is its component's least node.
 
-    Links, nodes and components stay distributed; each round is written to the
-    shared folder. Rounds grow with the logarithm of the longest chain, not with
-    its length. A table without links gives an empty one.
+    Links, nodes and components of a large table stay distributed; each round is
+    written to the shared folder. Rounds grow with the logarithm of the longest
+    chain, not with its length. A table without links gives an empty one.
     """
 
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = stored(links.where("u != v").select("u", "v").distinct(), "links")
+    now = stored(links.where("u != v").select("u", "v"), "links")
+    if now.count() <= small:
+        return stored(_in_one_task(now), "components")
     was, seen = None, state(now)
-    while seen[0] and seen != was:
+    while seen != was:
         now = stored(_star(_star(now, large=True), large=False), "links")
         was, seen = seen, state(now)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -76,7 +76,8 @@ def test_links_connect_what_is_near(spark, limits):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     rnd = random.Random(4)
     chain = [(i, i + 1) for i in range(40)]
     hub = [(1000, 2000 + i) for i in range(50)]
@@ -86,8 +87,8 @@ def test_components(spark):
     pairs = {frozenset(p) for p in links}
     want = least_reachable(nodes, lambda a, b: frozenset((a, b)) in pairs)
     rnd.shuffle(links)
-    assert {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()} == want
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long"), small).collect()} == want
+    assert components(spark.createDataFrame([], "u long, v long"), small).count() == 0
 
 
 def corpus():
