@@ -1,0 +1,3 @@
+from hazardframe.functions.columns import at_risk, days_since, hash31, hash31_sql, rounded, running, steps_below, window_exposure
+
+__all__ = ["at_risk", "days_since", "hash31", "hash31_sql", "rounded", "running", "steps_below", "window_exposure"]

@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from hazardframe.plans import basic  # noqa: F401
+from hazardframe.plans.registry import ORACLES, QUERIES
+
+flagship = QUERIES["aalen_johansen"]
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
