@@ -55,13 +55,19 @@ class SpanHash:
 
     def common(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         """Lengths of the common prefixes of suffixes ``a`` and ``b``, up to ``depth``."""
-        low = np.zeros(a.size, dtype=np.int64)
-        high = np.minimum(depth, self.size - np.maximum(a, b))
-        while (low < high).any():
-            mid = (low + high + 1) >> 1
-            same = self(a, mid) == self(b, mid)
-            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out = np.minimum(depth, self.size - np.maximum(a, b))
+        at = np.flatnonzero(self(a, out) != self(b, out))  # most others agree to the end or differ soon
+        low, high = np.zeros(at.size, dtype=np.int64), out[at] - 1
+        a, b = a[at], b[at]
+        guess = np.minimum(8, high)
+        while at.size:
+            same = self(a, guess) == self(b, guess)
+            low, high = np.where(same, guess, low), np.where(same, high, guess - 1)
+            open_ = low < high
+            out[at[~open_]] = low[~open_]
+            at, a, b, low, high = at[open_], a[open_], b[open_], low[open_], high[open_]
+            guess = (low + high + 1) >> 1
+        return out
 
 
 class Store:
@@ -283,26 +289,22 @@ class Sorter:
         length = np.append(np.diff(lms) + 1, 1)
         spans = hashed(lms, np.minimum(length, self.text.size - lms))
         a, b = order[:-1], order[1:]
+        # a rank is the place of the first of its equals, so that ties can be refined alone
+        new = np.append(True, (length[a] != length[b]) | (spans[a] != spans[b]))
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.append(0, np.cumsum((length[a] != length[b]) | (spans[a] != spans[b])))
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        tied = order[~(new & np.append(new[1:], True))]
         reach = 1
-        while True:
-            # ranks are places of the first of their equals, so that ties can be refined alone
-            sizes = np.bincount(rank, minlength=1)
-            rank = (np.cumsum(sizes) - sizes)[rank]
-            tied = np.flatnonzero(sizes[sizes > 0].size < n and np.bincount(rank, minlength=n)[rank] > 1)
-            if not tied.size or reach * 2 > self.depth:
-                break
+        while tied.size and reach <= self.depth:  # a name covers a symbol at least
             following = np.where(tied + reach < n, rank[np.minimum(tied + reach, n - 1)] + 1, 0)
-            by = np.argsort(rank[tied] * (n + 1) + following)
-            at, r, f = tied[by], rank[tied][by], following[by]
-            new = np.append(True, (r[1:] != r[:-1]) | (f[1:] != f[:-1]))
+            r = rank[tied]
+            by = np.argsort(r * (n + 1) + following)
+            tied, r, following = tied[by], r[by], following[by]
             first = np.append(True, r[1:] != r[:-1])
-            index = np.arange(at.size)
-            group = np.maximum.accumulate(np.where(first, index, 0))
-            start = np.maximum.accumulate(np.where(new, index, 0))
-            rank[at] = r + (start - group)
-            _, rank = np.unique(rank, return_inverse=True)
+            new = first | np.append(True, following[1:] != following[:-1])
+            index = np.arange(tied.size)
+            rank[tied] = r + np.maximum.accumulate(np.where(new, index, 0)) - np.maximum.accumulate(np.where(first, index, 0))
+            tied = tied[~(new & np.append(new[1:], True))]
             reach *= 2
         order = np.argsort(rank, kind="stable")
         lms = lms[order]

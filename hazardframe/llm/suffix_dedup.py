@@ -24,13 +24,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hazardframe.llm.common import SLICE, arrow_schema, map_rows, stored, text_of, type_of
 from hazardframe.llm.suffix_array import SpanHash, repeated_positions
 
 DEPTH = 200
 #: Bytes of a shard, a label's stretches apart, and of a task's shards.
-SHARD, TASK = 4 << 20, 16 << 20
+SHARD, TASK = 1 << 20, 16 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -86,49 +87,15 @@ def _cut(docs: DataFrame, id_col: str, depth: int) -> DataFrame:
     return map_rows(docs, schema, kernel)
 
 
-def _sorted_out(rows: DataFrame, id_col: str, n: int) -> DataFrame:
-    """Stretches whose windows all repeat (null label), and one of each content of labels with several.
+def _sorted_out(rows: DataFrame, n: int) -> DataFrame:
+    """Stretches that repeat or could: ``copies`` of the content, ``turn`` among them, ``several`` contents of the label.
 
-    ``lone`` marks a content that occurs once, whose own windows are still to be
-    judged. Rows come sorted, so a task holds two rows of a label at a time.
+    One shuffle by label and one sort serve both windows.
     """
-    schema = f"`{id_col}` {type_of(rows, id_col)}, text_hash bigint, first int, windows int, label bigint, lone boolean"
-    target = arrow_schema(rows.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label = content = held = None  # held: the first stretch of the content at hand
-        copies, several, inner = 0, False, False
-        out: list[tuple] = []
-
-        def close_content(more: bool) -> None:
-            """``more``: another content of the label is known to exist."""
-            if held is not None and (more or inner and copies == 1):
-                out.append((*held, label, copies == 1))
-
-        for batch in batches:
-            for doc, digest, first, windows, at, inside, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                here = (doc, digest, first, windows)
-                if at == label and inside == content:
-                    if copies == 1:
-                        out.append((*held, None, False))
-                    out.append((*here, None, False))
-                    copies += 1
-                    continue
-                if at == label:
-                    close_content(True)
-                    several = True
-                else:
-                    close_content(several)
-                    several = False
-                label, content, held, copies, inner = at, inside, here, 1, twice
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
-                out = []
-        close_content(several)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
-
-    return rows.repartition(n, "label").sortWithinPartitions("label", "content").mapInArrow(run, schema)
+    same, label = Window.partitionBy("label", "content"), Window.partitionBy("label")
+    counted = rows.repartition(n, "label").withColumns({"copies": F.count("*").over(same), "turn": F.row_number().over(same.orderBy("text_hash"))})
+    counted = counted.withColumn("several", F.min("content").over(label) != F.max("content").over(label))
+    return counted.where("copies > 1 or several or twice").drop("content")
 
 
 def _judged(rows: DataFrame, id_col: str, depth: int, shard: int) -> DataFrame:
@@ -173,9 +140,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
-    places = stored(_sorted_out(_cut(keyed, id_col, depth), id_col, n), "stretches")
-    whole = places.where("label is null").select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
-    differing = places.where("label is not null")
+    places = stored(_sorted_out(_cut(keyed, id_col, depth), n), "stretches")
+    whole = places.where("copies > 1").select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
+    # one of each content is sorted; only the windows of those that occur once are still to be judged
+    differing = places.where("turn = 1 and (several or (twice and copies = 1))").withColumn("lone", F.col("copies") == 1)
     size = differing.agg(F.sum(F.col("windows").cast("long") + depth)).first()[0] or 0
     if size:
         wanted = differing.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "windows", "label", "lone")).alias("_wanted"))
