@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazardframe.plans import basic, forests, models, scoring  # noqa: F401
+from hazardframe.plans import basic, forests, models, scoring, streams  # noqa: F401
 from hazardframe.plans.registry import ORACLES, QUERIES
 
 flagship = QUERIES["aalen_johansen"]
