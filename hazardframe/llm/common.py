@@ -40,13 +40,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
+def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage.
+
+    ``tasks`` is the number of tasks that make a table of short rows; it is then
+    gathered into far fewer files, as each costs the executors more than its rows.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(max(8, tasks // 64)) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` after a shuffle in a quarter of its partitions, worked off one after another in a task.
+
+    It makes fewer output files without moving rows; a task still holds one
+    partition's sort or join at a time.
+    """
+    return df.coalesce(max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+
+
+def partitions(df: DataFrame) -> int:
+    """Tasks that a scan of ``df`` takes."""
+    return df.rdd.getNumPartitions()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage."""
     jvm = spark.sparkContext._jvm

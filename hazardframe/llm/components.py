@@ -65,7 +65,7 @@ def _in_one_task(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, root) for every node of ``links`` (u, v, both bigint): root is its component's least node.
 
-    Links, nodes and components of a large table stay distributed; each round is
+    The links are read more than once. Nodes and components of a large table stay distributed; each round is
     written to the shared folder. Rounds grow with the logarithm of the longest
     chain, not with its length. A table without links gives an empty one.
     """
@@ -73,7 +73,7 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    now = stored(links.where("u != v").select("u", "v"), "links")
+    now = links.where("u != v").select("u", "v")
     if now.count() <= small:
         return stored(_in_one_task(now), "components")
     was, seen = None, state(now)

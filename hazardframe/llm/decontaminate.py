@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import SLICE, arrow_schema, stored, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, partitions, stored, text_of, type_of
 
 GRAM, ADJACENT = 3, 2
 SIMILAR = 0.8
@@ -193,7 +193,7 @@ def find_leaks(
     for ids, texts in _blocks(benchmark, item_col, item_text_col, bound):
         shared = spark.sparkContext.broadcast(Items(ids, texts))
         schema = f"gram int, n bigint, `{id_col}` {kind}, text_hash bigint, places array<struct<item:int,first:bigint,numbers:array<int>,grams:array<int>>>"
-        found = stored(rows.mapInArrow(_scan(shared, arrow_schema(spark, schema)), schema), "places")
+        found = stored(rows.mapInArrow(_scan(shared, arrow_schema(spark, schema)), schema), "places", partitions(docs))
         counts = np.zeros(shared.value.keys.size, dtype=np.int64)
         for r in found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect():
             counts[r.gram] = r.n
@@ -256,4 +256,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no test item, unchanged."""
     leaks = find_leaks(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_of(text_col)) == F.col("_h"))
-    return docs.join(leaks, same, "left_anti")
+    return gathered(docs.join(leaks, same, "left_anti"))

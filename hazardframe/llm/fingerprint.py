@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import SLICE, arrow_schema, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, text_of, type_of
 
 #: The two moduli (primes) and bases.
 MODULI = (2147483647, 2147483629)
@@ -249,4 +249,4 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
                     out = []
 
-    return rows.mapInArrow(run, schema)
+    return gathered(rows).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_schema, map_rows, stored, text_of, type_of
+from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, stored, text_of, type_of
 from hazardframe.llm.components import components
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -164,7 +164,7 @@ def near_links(numbers: DataFrame, limits: tuple[int, ...] = LIMITS) -> DataFram
     links = None
     for k, limit in enumerate(limits):
         last = k + 1 == len(limits)
-        out = stored(_searched(rows, 1 << 62 if last else limit), "shards")
+        out = stored(_searched(rows, 1 << 62 if last else limit), "shards", int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         found = out.where("root is not null").select(F.col("number").alias("u"), F.col("root").alias("v"))
         links = found if links is None else links.unionAll(found)
         rows = out.where("root is null").select("mask", "shard", "number")
@@ -199,12 +199,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it has no other; repeated rows are one another's copies; an empty table gives
     an empty one. Documents with equal fingerprints count once in the search.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
     first = prints.groupBy("number").agg(F.min(id_col).alias("_first"))
     known = first.join(roots(prints, id_col), "number")
     least = known.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = known.join(least, "root").select("number", "component_id")
-    return prints.join(named, "number").select(id_col, F.lpad(F.lower(F.hex("number")), 16, "0").alias("fingerprint"), "component_id")
+    return gathered(prints.join(named, "number").select(id_col, F.lpad(F.lower(F.hex("number")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,10 +212,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A component of null ids keeps the row of the least text hash.
     """
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
     best = prints.groupBy("number").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
     kept = best.join(roots(prints, id_col), "number").groupBy("root").agg(F.min("best").alias("best"))
     kept = kept.select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")).distinct()
     rows = docs.withColumn("_hash", F.xxhash64(text_of(text_col)))
     rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return rows.dropDuplicates([id_col, "_hash"]).select(docs.columns)
+    return gathered(rows.dropDuplicates([id_col, "_hash"]).select(docs.columns))

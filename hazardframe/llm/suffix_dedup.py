@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazardframe.llm.common import SLICE, arrow_schema, map_rows, stored, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, map_rows, stored, text_of, type_of
 from hazardframe.llm.suffix_array import SpanHash, repeated_positions
 
 DEPTH = 200
@@ -140,7 +140,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
-    places = stored(_sorted_out(_cut(keyed, id_col, depth), n), "stretches")
+    places = stored(gathered(_sorted_out(_cut(keyed, id_col, depth), n)), "stretches")
     whole = places.where("copies > 1").select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
     # one of each content is sorted; only the windows of those that occur once are still to be judged
     differing = places.where("turn = 1 and (several or (twice and copies = 1))").withColumn("lone", F.col("copies") == 1)
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return {id_col: ids, "n_bytes": [len(r) for r in raws], "removed": [[{"start": a, "stop": z} for a, z in x] for x in removed], "kept": kept}
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary"
-    return map_rows(both.select(id_col, "_text", "spans"), schema, kernel)
+    return map_rows(gathered(both.select(id_col, "_text", "spans")), schema, kernel)
 
 
 def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
