@@ -152,10 +152,10 @@ def average(forest: ForestArrays, x: np.ndarray, what: str, times: np.ndarray, a
 
 
 def predict(df: DataFrame, forest, features: list[str], keep: list[str], what: str, times: list[float], allowed: str | None = None) -> DataFrame:
-    """``keep``, ``value`` (an array) and ``n_trees`` per row; ``forest`` is a broadcast of :class:`ForestArrays`."""
+    """``keep``, ``_value`` (an array) and ``n_trees`` per row; ``forest`` is a broadcast of :class:`ForestArrays`."""
     names = [*keep, *features, *([allowed] if allowed else [])]
     rows = df.select(*keep, *(F.col(f"`{f}`").cast("double").alias(f"_x{i}") for i, f in enumerate(features)), *([allowed] if allowed else []))
-    out = T.StructType([*rows.select(*keep).schema, T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("n_trees", T.IntegerType())])
+    out = T.StructType([*rows.select(*keep).schema, T.StructField("_value", T.ArrayType(T.DoubleType())), T.StructField("n_trees", T.IntegerType())])
     at = np.asarray(times, dtype=float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -308,14 +308,14 @@ class _Forest(Parameters):
 
     def _opened(self, made: DataFrame, key: list[str], times: list[float], name: str) -> DataFrame:
         at = F.array(*(F.lit(t) for t in times))
-        return made.select(*key, F.posexplode("value").alias("_k", name)).select(*key, F.element_at(at, F.col("_k") + 1).alias("t"), name)
+        return made.select(*key, F.posexplode("_value").alias("_k", name)).select(*key, F.element_at(at, F.col("_k") + 1).alias("t"), name)
 
     def predict_mortality(self, df: DataFrame, key: list[str]) -> DataFrame:
         """``key, mortality``: the cumulative hazard summed over the event times."""
         if self.aggregate == "survival":
             made = self._predict(df, key, "survival", self.event_times_)
-            return made.select(*key, F.aggregate("value", F.lit(0.0), lambda a, x: a + x).alias("mortality"))
-        return self._predict(df, key, "mortality", self.event_times_).select(*key, F.element_at("value", 1).alias("mortality"))
+            return made.select(*key, F.aggregate("_value", F.lit(0.0), lambda a, x: a + x).alias("mortality"))
+        return self._predict(df, key, "mortality", self.event_times_).select(*key, F.element_at("_value", 1).alias("mortality"))
 
     def _path(self, df: DataFrame, path: str, origin: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         spans = df.groupBy(path).agg(F.min("start").alias("_a"), F.max("stop").alias("_z"))
@@ -461,7 +461,7 @@ class SurvivalForestTV(_Forest):
         rows = self.oob_rows()
         what = "survival" if self.aggregate == "survival" else "mortality"
         made = self._predict(rows, ["row_key", "id", "start", "stop", "event"], what, self.event_times_, "trees", encoded=True)
-        value = F.aggregate("value", F.lit(0.0), lambda a, x: a + x) if what == "survival" else F.element_at("value", 1)
+        value = F.aggregate("_value", F.lit(0.0), lambda a, x: a + x) if what == "survival" else F.element_at("_value", 1)
         self.oob_prediction_ = made.select("row_key", "id", "start", "stop", "event", value.alias("mortality"), "n_trees").persist()
         used = self.oob_prediction_.where("n_trees > 0")
         if used.isEmpty():
@@ -500,7 +500,7 @@ class CompetingRisksForestTV(_Forest):
         at = self._sorted(self._times(times))
         made = self._predict(df, key, "cif" if self.aggregate == "cif" else "cif_hazard", at)
         table, labels = F.array(*(F.lit(t) for t in at)), F.array(*(F.lit(c).cast("long") for c in [0, *self.causes_]))
-        opened = made.select(*key, F.posexplode("value").alias("_k", "cif"))
+        opened = made.select(*key, F.posexplode("_value").alias("_k", "cif"))
         return opened.select(*key, F.element_at(table, F.col("_k") % len(at) + 1).alias("t"), F.element_at(labels, (F.col("_k") / len(at)).cast("int") + 1).alias("cause"), "cif")
 
     def predict_cumulative_incidence(self, df: DataFrame, key: list[str], times: list[float] | None = None, cause: int | None = None) -> DataFrame:
@@ -515,7 +515,7 @@ class CompetingRisksForestTV(_Forest):
             return self._opened(self._predict(df, key, "cumhaz", at), key, at, "cumhaz")
         made = self._predict(df, key, "cause_cumhaz", at)
         table, labels = F.array(*(F.lit(t) for t in at)), F.array(*(F.lit(c).cast("long") for c in self.causes_))
-        opened = made.select(*key, F.posexplode("value").alias("_k", "cumhaz"))
+        opened = made.select(*key, F.posexplode("_value").alias("_k", "cumhaz"))
         out = opened.select(*key, F.element_at(table, F.col("_k") % len(at) + 1).alias("t"), F.element_at(labels, (F.col("_k") / len(at)).cast("int") + 1).alias("cause"), "cumhaz")
         return out if cause is None else out.where(F.col("cause") == self.causes_[self._place(cause) - 1])
 
@@ -549,7 +549,7 @@ class CompetingRisksForestTV(_Forest):
         rows = self.oob_rows()
         place = self._place(self.score_cause)
         made = self._predict(rows, ["row_key", "id", "start", "stop", "event"], "cif" if self.aggregate == "cif" else "cif_hazard", [self.event_times_[-1]], "trees", encoded=True)
-        self.oob_prediction_ = made.select("row_key", "id", "start", "stop", "event", F.element_at("value", place + 1).alias("risk"), "n_trees").persist()
+        self.oob_prediction_ = made.select("row_key", "id", "start", "stop", "event", F.element_at("_value", place + 1).alias("risk"), "n_trees").persist()
         used = self.oob_prediction_.where("n_trees > 0")
         if used.isEmpty():
             raise ValidationError("no row is out of any bag; lower max_samples")

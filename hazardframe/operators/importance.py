@@ -37,7 +37,7 @@ def with_curves(fitted, rows: DataFrame, key: str, edges: list[float]) -> DataFr
     what = "cause_cumhaz" if len(fitted.causes_) > 1 else ("survival" if fitted.aggregate == "survival" else "cumhaz")
     made = fitted._predict(rows, [key], what, edges)
     n = len(edges)
-    return made.select(key, *(F.slice("value", j * n + 1, n).alias(f"H{j + 1}") for j in range(len(fitted.causes_))))
+    return made.select(key, *(F.slice("_value", j * n + 1, n).alias(f"H{j + 1}") for j in range(len(fitted.causes_))))
 
 
 def _keyed(cp: CountingProcess, fitted) -> DataFrame:
