@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from hazardframe import frame
 from hazardframe.errors import ValidationError
-from hazardframe.forest import arrays, frames, kernel
+from hazardframe.forest import arrays, frames, kernel, levels
 from hazardframe.frame import CountingProcess
 from hazardframe.functions import steps_below
 from hazardframe.operators import estimators as est
@@ -84,6 +84,7 @@ class _Forest(Parameters):
         "oob_score": False,
         "n_jobs": None,
         "random_state": None,
+        "max_node_rows": 2_000_000,
     }
     competing = False
     aggregates: tuple[str, ...] = ("hazard", "survival")
@@ -95,6 +96,7 @@ class _Forest(Parameters):
         _whole("max_bins", self.max_bins, 2, 256)
         _whole("min_events_leaf", self.min_events_leaf, 1)
         _whole("oob_buffer", self.oob_buffer, 0, 1_000_000)
+        _whole("max_node_rows", self.max_node_rows, 1)
         if self.max_depth is not None:
             _whole("max_depth", self.max_depth, 0)
         if self.ntime is not None:
@@ -214,11 +216,18 @@ class _Forest(Parameters):
         rows = self.design_.select("unit", bins.alias("bins"), steps_below(grid, F.col("start"), inclusive=True).alias("a"), steps_below(grid, F.col("stop"), inclusive=True).alias("b"), F.col("event").alias("cause"))
         bagged = self.bags.join(rows, "unit").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("tree", "unit", "copy", "bins", "a", "b", "cause")
         limits, seed = self._limits(), self.seed_
-        schema = "tree int, kind string, node int, feature int, bin int, missing int, left int, right int, leaf int, k int, cause int, value double"
+        # a bag holds about its share of all rows; larger ones are first split from histograms
+        large = self.design_.count() * self._n_draw(self.n_units_) / self.n_units_ > self.max_node_rows
+        if large:
+            above, bagged = levels.split_large_nodes(bagged, limits, seed, len(names), self.max_node_rows)
+        else:
+            above, bagged = [], bagged.withColumn("path", F.lit(1).cast("long"))
+        schema = "tree int, path long, kind string, node int, feature int, bin int, missing int, left int, right int, leaf int, k int, cause int, value double"
 
         def grow(table: pa.Table) -> pa.Table:
-            tree = int(table.column("tree")[0].as_py())
+            tree, path = int(table.column("tree")[0].as_py()), int(table.column("path")[0].as_py())
             unit, copy = (table.column(c).to_numpy() for c in ("unit", "copy"))
+            # an order that depends on the rows alone
             order = np.lexsort((table.column("b").to_numpy(), copy, unit))
             new = np.append(True, (np.diff(unit[order]) != 0) | (np.diff(copy[order]) != 0))
             flat = table.column("bins").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -229,7 +238,7 @@ class _Forest(Parameters):
                 table.column("cause").to_numpy()[order].astype(np.int64),
                 np.cumsum(new),
             )
-            grown = kernel.grow(part, limits, np.random.default_rng([seed, tree]))
+            grown = kernel.grow(part, limits, np.random.default_rng([seed, tree, path]), path.bit_length() - 1)
             n = len(grown.feature)
             rows = [("node", i, grown.feature[i], grown.bin[i], grown.missing[i], grown.left[i], grown.right[i], grown.leaf[i], None, None, None) for i in range(n)]
             rows += [("jump", None, None, None, None, None, None, leaf, k, cause, jump) for leaf, k, cause, jump in grown.jumps]
@@ -237,9 +246,11 @@ class _Forest(Parameters):
             columns = list(zip(*rows, strict=True))
             kinds = [pa.string(), *[pa.int32()] * 9, pa.float64()]
             names_ = ["kind", "node", "feature", "bin", "missing", "left", "right", "leaf", "k", "cause", "value"]
-            return pa.table([pa.array([tree] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["tree", *names_])
+            at = [pa.array([tree] * len(rows), pa.int32()), pa.array([path] * len(rows), pa.int64())]
+            return pa.table([*at, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["tree", "path", *names_])
 
-        grown = bagged.groupBy("tree").applyInArrow(grow, schema).persist()
+        grown = bagged.groupBy("tree", "path").applyInArrow(grow, schema)
+        grown = (joined_trees(spark, above, grown) if large else grown).persist()
         known = F.array(*(F.lit(x) for x in self.encoder_.names))
         # thresholds by place: an array of arrays of edges, one for each feature
         table = F.array(*(F.array(*(F.lit(float(e)) for e in edges[x])) if edges[x] else F.array().cast("array<double>") for x in names))
@@ -422,6 +433,52 @@ class _Forest(Parameters):
             raise ValidationError(f"the saved forest is damaged: {bad} rows")
 
 
+def joined_trees(spark: SparkSession, above: list, grown: DataFrame) -> DataFrame:
+    """Trees whose upper nodes were split from histograms, with the parts that the kernel grew below them.
+
+    Nodes are numbered parents first, leaves in that order. The model is gathered
+    on the driver, as it is for prediction anyway.
+    """
+    parts: dict[tuple[int, int], list] = {}
+    for r in grown.collect():
+        parts.setdefault((r.tree, r.path), []).append(r)
+    upper: dict[tuple[int, int], list] = {}
+    for r in above:
+        upper.setdefault((r.tree, r.path), []).append(r)
+    out = []
+    for tree in sorted({t for t, _ in (*parts, *upper)}):
+        count = leaves = 0
+        todo = [(1, None, None)]  # path, row of the parent, side
+        while todo:
+            path, parent, side = todo.pop()
+            if parent is not None:
+                parent[side] = count
+            if (tree, path) in parts:
+                rows = parts[tree, path]
+                base, first = count, leaves
+                for r in rows:
+                    leaf = None if r.leaf is None else (r.leaf + first if r.leaf >= 0 else -1)
+                    shift = lambda x: x + base if x is not None and x >= 0 else x  # noqa: E731, B023
+                    out.append([tree, 1, r.kind, shift(r.node), r.feature, r.bin, r.missing, shift(r.left), shift(r.right), leaf, r.k, r.cause, r.value])
+                count += sum(r.kind == "node" for r in rows)
+                leaves += len({r.leaf for r in rows if r.kind == "stat"})
+                continue
+            rows = upper[tree, path]
+            node = [tree, 1, "node", count, -1, -1, 0, -1, -1, -1, None, None, None]
+            out.append(node)
+            count += 1
+            if rows[0].feature is None:
+                node[9] = leaves
+                for r in rows:
+                    kind, k = ("stat", None) if r.leaf_k == -1 else ("jump", r.leaf_k)
+                    out.append([tree, 1, kind, None, None, None, None, None, None, leaves, k, r.cause, r.value])
+                leaves += 1
+            else:
+                node[4:7] = rows[0].feature, rows[0].bin, rows[0].missing
+                todo += [(2 * path + 1, node, 8), (2 * path, node, 7)]
+    return spark.createDataFrame([tuple(r) for r in out], grown.schema)
+
+
 def reshape_bin(x, edges: list[float]):
     """The bin of an encoded feature; null where missing."""
     return F.when(x.isNotNull() & ~F.isnan(x), steps_below(edges, x) if edges else F.lit(0))

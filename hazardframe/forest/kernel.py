@@ -96,67 +96,52 @@ def _units(unit: np.ndarray) -> int:
     return int(np.count_nonzero(np.diff(unit))) + 1 if unit.size else 0
 
 
-def best_split(rows: Rows, features: np.ndarray, limits: Limits) -> tuple[int, int, int, float] | None:
+@dataclass
+class FeatureTable:
+    """What the candidates of one feature need: cumulative counts by bin, and units on each side.
+
+    ``left_risk`` (bins, times) and ``left_events`` (causes, bins, times) are those of
+    observed rows up to a bin. ``sides`` holds (units up to a bin, units beyond it)
+    with missing rows on the right and, if ``lost`` (risk, events, units with missing
+    rows, units with observed ones) is there, on the left.
+    """
+
+    feature: int
+    used: np.ndarray
+    left_risk: np.ndarray
+    left_events: np.ndarray
+    sides: list
+    lost: tuple | None = None
+
+
+def best_of(tables, at_risk: np.ndarray, events: np.ndarray, limits: Limits) -> tuple[int, int, int, float] | None:
     """(feature, bin, where missing go, score) of the best admissible split; the first of equals.
 
-    Candidates come in the order of ``features``, missing against observed first,
+    Candidates come in the order of ``tables``, missing against observed first,
     then ascending bins, missing to the right before missing to the left.
     """
-    hit = rows.cause > 0
-    times = np.unique(rows.b[hit] - 1)
-    if not times.size:
-        return None
-    at_risk, events = risk_profile(rows, times, limits.causes)
-    first, last = np.searchsorted(times, rows.a), np.searchsorted(times, rows.b)
-    when = np.searchsorted(times, rows.b - 1)
-    k, best, found = times.size, 0.0, None
+    best, found = 0.0, None
     total = events.sum(axis=1)
-    for f in features:
-        bins = rows.bins[f]
-        seen = bins >= 0
-        n_bins = int(bins.max(initial=-1)) + 1
-        lost = not seen.all()
-        if n_bins < 1:
-            continue
-        x = bins[seen]
-        width = k + 1
-        flow = np.bincount(x * width + first[seen], minlength=n_bins * width) - np.bincount(x * width + last[seen], minlength=n_bins * width)
-        left_risk = np.cumsum(np.cumsum(flow.reshape(n_bins, width)[:, :k], axis=1), axis=0).astype(float)
-        left_events = np.zeros((limits.causes, n_bins, k))
-        for j in range(limits.causes):
-            mine = seen & (rows.cause == j + 1)
-            left_events[j] = np.cumsum(np.bincount(bins[mine] * k + when[mine], minlength=n_bins * k).reshape(n_bins, k), axis=0)
+    for t in tables:
         ways = [(RIGHT, None)]
-        if lost:
-            gone = rows.take(np.flatnonzero(~seen))
-            lost_risk, lost_events = risk_profile(gone, times, limits.causes)
-            ways = [(RIGHT, None), (LEFT, (lost_risk, lost_events))]
-            alone_units, seen_units = _units(gone.unit), _units(rows.unit[seen])
-            sides = np.stack([lost_events.sum(axis=1), total - lost_events.sum(axis=1)])
-            if min(alone_units, seen_units) >= limits.min_units and _enough(sides[0], limits) and _enough(sides[1], limits):
+        if t.lost is not None:
+            lost_risk, lost_events, alone_units, seen_units = t.lost
+            ways.append((LEFT, (lost_risk, lost_events)))
+            gone = lost_events.sum(axis=1)
+            if min(alone_units, seen_units) >= limits.min_units and _enough(gone, limits) and _enough(total - gone, limits):
                 value = float(score(at_risk, events, lost_risk[None], lost_events[:, None], limits)[0])
                 if value > best:
-                    best, found = value, (int(f), -1, ALONE, value)
-        if n_bins < 2:
-            continue
-        used = np.flatnonzero(np.bincount(x, minlength=n_bins))[:-1]  # the last bin would leave nothing
+                    best, found = value, (t.feature, -1, ALONE, value)
+        used = t.used
         if not used.size:
             continue
         values, ok = [], []
-        for way, extra in ways:
-            lr, le = left_risk[used], left_events[:, used]
-            if lost:
-                # a unit is on a side if one of its rows is
-                moved = np.where(seen, bins, n_bins if way == RIGHT else -1) + 1
-                upto, beyond = _unit_counts(moved, rows.unit, n_bins + 2)
-                upto, beyond = upto[used + 1], beyond[used + 1]
-            else:
-                upto, beyond = _unit_counts(bins, rows.unit, n_bins)
-                upto, beyond = upto[used], beyond[used]
+        for (_, extra), (upto, beyond) in zip(ways, t.sides, strict=True):
+            lr, le = t.left_risk[used], t.left_events[:, used]
             if extra is not None:
                 lr, le = lr + extra[0], le + extra[1][:, None]
             here = le.sum(axis=2)
-            good = (np.minimum(upto, beyond) >= limits.min_units) & (np.minimum(here.sum(axis=0), total.sum() - here.sum(axis=0)) >= limits.min_events)
+            good = (np.minimum(upto[used], beyond[used]) >= limits.min_units) & (np.minimum(here.sum(axis=0), total.sum() - here.sum(axis=0)) >= limits.min_events)
             if limits.min_events_cause:
                 good &= (np.minimum(here, total[:, None] - here) >= limits.min_events_cause).all(axis=0)
             s = np.zeros(used.size)
@@ -168,10 +153,48 @@ def best_split(rows: Rows, features: np.ndarray, limits: Limits) -> tuple[int, i
         at = int(np.argmax(table))
         if table.flat[at] > best:
             best = float(table.flat[at])
-            found = (int(f), int(used[at // len(ways)]), ways[at % len(ways)][0], best)
+            found = (t.feature, int(used[at // len(ways)]), ways[at % len(ways)][0], best)
     return found
 
 
+def _tables(rows: Rows, features: np.ndarray, times: np.ndarray, limits: Limits):
+    first, last = np.searchsorted(times, rows.a), np.searchsorted(times, rows.b)
+    when = np.searchsorted(times, rows.b - 1)
+    k = times.size
+    for f in features:
+        bins = rows.bins[f]
+        seen = bins >= 0
+        n_bins = int(bins.max(initial=-1)) + 1
+        if n_bins < 1:
+            continue
+        x, width = bins[seen], k + 1
+        flow = np.bincount(x * width + first[seen], minlength=n_bins * width) - np.bincount(x * width + last[seen], minlength=n_bins * width)
+        left_risk = np.cumsum(np.cumsum(flow.reshape(n_bins, width)[:, :k], axis=1), axis=0).astype(float)
+        left_events = np.zeros((limits.causes, n_bins, k))
+        for j in range(limits.causes):
+            mine = seen & (rows.cause == j + 1)
+            left_events[j] = np.cumsum(np.bincount(bins[mine] * k + when[mine], minlength=n_bins * k).reshape(n_bins, k), axis=0)
+        used = np.flatnonzero(np.bincount(x, minlength=n_bins))[:-1]  # the last bin would leave nothing
+        if seen.all():
+            yield FeatureTable(int(f), used, left_risk, left_events, [_unit_counts(bins, rows.unit, n_bins)])
+            continue
+        sides = []
+        for place in (n_bins, -1):  # missing rows beyond all bins, or before them
+            upto, beyond = _unit_counts(np.where(seen, bins, place) + 1, rows.unit, n_bins + 2)
+            sides.append((upto[1:-1], beyond[1:-1]))  # a unit is on a side if one of its rows is
+        gone = rows.take(np.flatnonzero(~seen))
+        lost = (*risk_profile(gone, times, limits.causes), _units(gone.unit), _units(rows.unit[seen]))
+        yield FeatureTable(int(f), used, left_risk, left_events, sides, lost)
+
+
+def best_split(rows: Rows, features: np.ndarray, limits: Limits) -> tuple[int, int, int, float] | None:
+    """The best split of a node's rows on the drawn ``features``; see :func:`best_of`."""
+    times = np.unique(rows.b[rows.cause > 0] - 1)
+    if not times.size:
+        return None
+    return best_of(_tables(rows, features, times, limits), *risk_profile(rows, times, limits.causes), limits)
+
+
 def _enough(events: np.ndarray, limits: Limits) -> bool:
     return events.sum() >= limits.min_events and (events >= limits.min_events_cause).all()
 
@@ -182,10 +205,20 @@ def goes_left(bins: np.ndarray, cut: int, missing: int) -> np.ndarray:
     return np.where(bins == MISSING, missing == LEFT, bins <= cut)
 
 
-def grow(rows: Rows, limits: Limits, rng: np.random.Generator) -> Tree:
-    """A tree, depth first; every node draws its features anew."""
+def divisible(units: int, events: np.ndarray, depth: int, limits: Limits) -> bool:
+    """Whether a node's counts leave room for two children."""
+    return (
+        (limits.max_depth is None or depth < limits.max_depth)
+        and units >= 2 * limits.min_units
+        and events.sum() >= 2 * limits.min_events
+        and bool((events >= 2 * limits.min_events_cause).all())
+    )
+
+
+def grow(rows: Rows, limits: Limits, rng: np.random.Generator, depth: int = 0) -> Tree:
+    """A tree, depth first, from a node at ``depth``; every node draws its features anew."""
     tree, p = Tree(), rows.bins.shape[0]
-    todo = [(rows, 0, -1, False)]
+    todo = [(rows, depth, -1, False)]
     while todo:
         part, depth, parent, right = todo.pop()
         node = len(tree.feature)
@@ -195,12 +228,7 @@ def grow(rows: Rows, limits: Limits, rng: np.random.Generator) -> Tree:
             column.append(value)
         events = np.bincount(part.cause, minlength=limits.causes + 1)[1:]
         split = None
-        if (
-            (limits.max_depth is None or depth < limits.max_depth)
-            and _units(part.unit) >= 2 * limits.min_units
-            and events.sum() >= 2 * limits.min_events
-            and (events >= 2 * limits.min_events_cause).all()
-        ):
+        if divisible(_units(part.unit), events, depth, limits):
             drawn = rng.permutation(p)[: limits.max_features or p]
             split = best_split(part, drawn, limits)
         if split is None:

@@ -283,3 +283,40 @@ def test_charts(spark, forest, cp):
     assert [r["unit"] for r in viz.plot_importance(table, 1)["data"]["values"]] == ["b"]
     curve = viz.plot_survival_curve(forest.predict_survival_function(cp.df.limit(1), ["id"], [1.0, 2.0]))
     assert len(curve["data"]["values"]) == 2
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_histogram_split_equals_the_kernel(spark, seed):
+    """One level from Spark's histograms against the kernel on the same rows."""
+    from hazardframe.forest import levels
+
+    rng = np.random.default_rng(seed)
+    n, causes = 80, 1 + seed % 3
+    bins = rng.integers(0, 6, (3, n))
+    if seed % 2:
+        bins[rng.random((3, n)) < 0.2] = -1
+    a = rng.integers(0, 6, n)
+    b = a + rng.integers(1, 5, n)
+    rows = kernel.Rows(bins, a, b, rng.integers(0, causes + 1, n), np.sort(rng.integers(0, 50, n)))
+    limits = kernel.Limits(3, 1, 0, None, 2, causes)
+    data = [(0, int(u), 1, [int(x) for x in bins[:, i]], int(a[i]), int(b[i]), int(rows.cause[i]), 1) for i, u in enumerate(rows.unit)]
+    table = spark.createDataFrame(data, "tree int, unit long, copy int, bins array<smallint>, a int, b int, cause int, path long")
+    got = levels.split_level(table, [(0, 1)], limits, 5, 3).collect()
+    want = kernel.best_split(rows, np.array(levels.drawn_features(5, 0, 1, 3, 2)), limits)
+    assert want is not None
+    r = got[0]
+    assert (r.feature, r.bin, r.missing) == want[:3] and abs(r.value - want[3]) < 1e-9
+
+
+def test_large_nodes_are_split_from_histograms(spark):
+    cp = simulated(spark, 250, 4, causes=2, missing=0.1)
+    given = {"n_estimators": 3, "random_state": 1, "min_ids_leaf": 10, "max_features": None, "oob_score": True}
+    whole, levelled = (CompetingRisksForestTV(**given, max_node_rows=n).fit(cp) for n in (10**6, 120))
+    # with all features in every node the draws only order them, so ties apart both grow the same trees
+    leaf = lambda f: f.leaf_stats.groupBy("tree").agg(F.count("*").alias("n"), F.sum("events").alias("e")).collect()
+    assert {(r.tree, r.e) for r in leaf(whole)} == {(r.tree, r.e) for r in leaf(levelled)}
+    a, b = (values(f.predict_risk(cp.df, KEY, 4.0), KEY, "risk") for f in (whole, levelled))
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+    levelled._check_state()
+    alone = SurvivalForestTV(n_estimators=2, max_node_rows=10, max_depth=1, random_state=1).fit(cp)
+    assert {r.tree: r.n for r in alone.nodes.groupBy("tree").agg(F.count("*").alias("n")).collect()} == {0: 3, 1: 3}
