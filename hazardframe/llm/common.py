@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 SLICE = 256
 
 
+#: Bytes of a batch of rows on its way to Python, where the session leaves Spark's default.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -76,6 +80,13 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts fill a default batch with tens of MB on both sides; hold that down."""
+    name, default, ours = BATCH_BYTES
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, ours)
+
+
 def text_of(column: str):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -109,6 +120,8 @@ def map_rows(
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string, for a kernel about to be planned."""
+    small_batches(spark)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

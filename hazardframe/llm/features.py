@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import Counter
 from functools import cache
@@ -16,9 +17,13 @@ from hazardframe.llm.common import map_rows, text_of
 #: Features are hashed to this many places; a model keeps only those it selects.
 SPACE = 1 << 24
 #: Words whose features a task remembers; the memory is emptied when full.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
-EDGE = re.compile(r"^\W+|\W+$")
+MARKS = string.punctuation
+#: Letters that stand for a word's stem.
+STEM = 5
+#: Share of a text's words from which a stem counts as frequent in it, a feature of its own.
+DENSE = 0.01
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 
@@ -28,27 +33,46 @@ def _slot(kind: str, name: str) -> int:
 
 
 class Extractor:
-    """Features of a text: its words, their shapes, and binned statistics of its structure."""
+    """Features of a text: its words, their shapes and stems, and binned statistics of its structure."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, tuple[int, int, int]] = {}
+        self.shapes: dict[str, int] = {}
 
-    def _word(self, word: str) -> tuple[int, int]:
+    def _word(self, word: str) -> tuple[int, int, int]:
+        """Slots of the word, its shape, and its first letters (-1 if it has no more)."""
         if (found := self.known.get(word)) is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            shape = DIGITS.sub("9", LETTERS.sub("A" if word.isupper() else "a", word[:64]))[:8]
-            found = self.known[word] = (_slot("w", EDGE.sub("", word).lower()), _slot("f", shape))
+            core = word.strip(MARKS)
+            letter = "A" if word.isupper() else "a"
+            if core.isalpha():
+                at = word.find(core)
+                shape = f"{word[:at]}{letter}{word[at + len(core) :]}"[:8]
+            else:
+                shape = DIGITS.sub("9", LETTERS.sub(letter, word[:64]))[:8]
+            if (place := self.shapes.get(shape)) is None:
+                if len(self.shapes) >= REMEMBERED:
+                    self.shapes.clear()
+                place = self.shapes[shape] = _slot("f", shape)
+            core = core.lower()
+            found = self.known[word] = (_slot("w", core), place, _slot("p", core[:STEM]) if len(core) > STEM else -1)
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(slots ascending, how often each occurs); statistics count once."""
         words = text.split()
         counts: Counter[int] = Counter()
+        stems: Counter[int] = Counter()
         for word, n in Counter(words).items():
-            a, b = self._word(word)
+            a, b, stem = self._word(word)
             counts[a] += n
             counts[b] += n
+            stems[stem] += n
+        stems.pop(-1, None)
+        often = max(2, DENSE * len(words))
+        counts.update({(slot * 31 + 7) % SPACE: n for slot, n in stems.items() if n >= often})
+        counts.update(stems)
         for name, value in statistics(text, words).items():
             counts[_slot("s", f"{name}:{value}")] = 1
         slots = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import map_rows, text_of, type_of
+from hazardframe.llm.common import map_rows, small_batches, text_of, type_of
 from hazardframe.llm.features import common_slots, extractor, held_out, labelled_sample, places, sigmoid
 
 #: Labelled documents to learn from, features to keep, documents that a feature needs.
@@ -94,6 +94,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "d
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model does not reject, unchanged."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def accepted(texts: pd.Series) -> pd.Series:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import map_rows, text_of, type_of
+from hazardframe.llm.common import map_rows, small_batches, text_of, type_of
 
 #: Kinds in the order that breaks ties of the start.
 BASE_KINDS = ("assign", "access", "hex")
@@ -157,6 +157,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n
     Rows without secrets stay as they are, null texts included.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: None if x is None else redact(x, s) if (s := find_secrets(x)) else x)
