@@ -111,6 +111,20 @@ SCORERS: dict[str, Callable] = {
 }
 
 
+def integrated_brier_scorer(fitted, cp: CountingProcess, test: list[float], w: float, cause: int | None, n_times: int = 10) -> DataFrame:
+    """``landmark, score``: the integrated Brier score of predicted curves at ``n_times`` even times up to the horizon."""
+    times = [w * (k + 1) / n_times for k in range(n_times)]
+    stack = lm.landmark_stack(cp, w, list(fitted.history_features), test)
+    key = ["id", "landmark"]
+    if cause is None:
+        curves = fitted.forest_.predict_survival_function(stack, key, times).withColumnRenamed("surv", "v")
+    else:
+        curves = fitted.forest_.predict_cumulative_incidence(stack, key, times, cause).withColumnRenamed("cif", "v")
+    arrays = curves.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda p: p.v).alias("curve"))
+    rows = stack.select(*key, "start", "stop", "event").join(arrays, key)
+    return _each_landmark(rows, lambda x: metrics.integrated_brier(x, "curve", times, cause).select(F.col("ibs").alias("score")))
+
+
 def _each_landmark(df: DataFrame, score: Callable) -> DataFrame:
     """One plan over the few landmarks of a test window."""
     out = None
@@ -133,16 +147,17 @@ def landmark_cross_validate(
     n_splits: int = 3,
     test_size: float | None = None,
     gap: float = 0.0,
-    scoring: tuple[str, ...] = ("brier",),
+    scoring: tuple[str | Callable, ...] = ("brier",),
     horizon: float | None = None,
     cause: int | None = None,
     param_grid: dict[str, list] | None = None,
     refit: str = "brier",
     return_predictions: bool = False,
 ):
-    """Rolling-origin validation over landmarks: ``fold, landmark, scorer, score, n``.
+    """Rolling-origin validation over landmarks: ``fold, landmark, scorer, score``.
 
-    The stack is built once. A fold trains on the ids known at its training
+    ``scoring`` names scorers or gives functions of (table, horizon, cause) that
+    return ``landmark, score``. The stack is built once. A fold trains on the ids known at its training
     cutoff, with their follow-up censored there, so that nothing after it is
     used, and scores each test landmark. With ``param_grid`` the last training
     landmarks choose the parameters of the forest by the mean of ``refit``.
@@ -150,9 +165,9 @@ def landmark_cross_validate(
     w = float(horizon or model.horizon)
     if gap < w:
         raise ValidationError("the gap between training and test landmarks must cover the horizon")
-    unknown = set(scoring) - set(SCORERS)
+    unknown = [s for s in scoring if not callable(s) and s not in (*SCORERS, "integrated_brier")]
     if unknown:
-        raise ValueError(f"unknown scorers {sorted(unknown)}")
+        raise ValueError(f"unknown scorers {unknown}")
     spark = cp.df.sparkSession
     times = lm.landmark_times(cp, model.landmarks, model.step)
     size = float(test_size if test_size is not None else times[-1] - times[-2])
@@ -171,8 +186,11 @@ def landmark_cross_validate(
         fitted = best.clone().set_params(landmarks=train).fit(known)
         scored = _scored(fitted, cp, test, w, cause).persist()
         for name in scoring:
-            for r in SCORERS[name](scored, w, cause).collect():
-                rows.append((fold, r.landmark, name, r.score))
+            if name == "integrated_brier":
+                table = integrated_brier_scorer(fitted, cp, test, w, cause)
+            else:
+                table = (name if callable(name) else SCORERS[name])(scored, w, cause)
+            rows += [(fold, r.landmark, name if isinstance(name, str) else name.__name__, r.score) for r in table.collect()]
         if return_predictions:
             tables.append(scored.withColumn("fold", F.lit(fold)))
         else:

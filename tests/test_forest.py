@@ -255,6 +255,8 @@ def test_effects_and_importance(spark, forest, cp):
     assert none.where("abs(effect) > 1e-9").count() == 0
     some = importance.permutation_importance(forest, cp, windows=2, n_repeats=1, n_bootstrap=4).collect()
     assert {r.unit for r in some} == {"x", "z", "c"}
+    held = importance.permutation_importance(forest, windows=2, n_repeats=1, n_bootstrap=3, oob=True).collect()
+    assert {r.unit for r in held} == {"x", "z", "c"}
     blind = SurvivalForestTV(n_estimators=2, max_depth=0).fit(cp)
     assert all(abs(r.importance) < 1e-12 for r in importance.permutation_importance(blind, cp, windows=2, n_repeats=1, n_bootstrap=3).collect())
 
@@ -265,10 +267,19 @@ def test_landmark_models(spark, cp):
     assert out.columns == ["id", "landmark", "risk"] and out.where("risk < 0 or risk > 1").count() == 0
     with pytest.raises(ValueError):
         model.predict_risk(cp, 2.0, 5.0)
-    scores, predictions = models.landmark_cross_validate(model.clone().set_params(landmarks=[0.0, 1.0, 2.0, 3.0, 4.0]), cp, 1, 1.0, 2.0, ("brier", "cindex_cumulative"), return_predictions=True, param_grid={"max_depth": [0, 2]})
-    assert {r.scorer for r in scores.collect()} == {"brier", "cindex_cumulative"} and predictions.where("landmark <> 4.0").count() == 0
+
+    def mine(table, w, cause):
+        return table.groupBy("landmark").agg(F.avg("risk").alias("score"))
+
+    scores, predictions = models.landmark_cross_validate(model.clone().set_params(landmarks=[0.0, 1.0, 2.0, 3.0, 4.0]), cp, 1, 1.0, 2.0, ("brier", "cindex_cumulative", "integrated_brier", mine), return_predictions=True, param_grid={"max_depth": [0, 2]})
+    assert {r.scorer for r in scores.collect()} == {"brier", "cindex_cumulative", "integrated_brier", "mine"} and predictions.where("landmark <> 4.0").count() == 0
     with pytest.raises(ValidationError):
         models.landmark_cross_validate(model, cp, 1, 1.0, 0.5)
+    for scoring in ("pe", "brier"):
+        units = importance.landmark_permutation_importance(model, cp, [1.0, 2.0], scoring, n_repeats=1)
+        assert {r.unit for r in units.collect()} == {"z", "x"}
+    dropped = importance.landmark_drop_column_importance(model.clone().set_params(landmarks=[1.0], forest=SurvivalForestTV(n_estimators=2, min_ids_leaf=10)), cp)
+    assert {r.unit for r in dropped.collect()} == {"z", "x"}
     two = simulated(spark, 150, 9, causes=2)
     rival = models.LandmarkCompetingRisksForest(horizon=2.0, history_features=("z",), landmarks=[0.0, 1.0], forest=CompetingRisksForestTV(n_estimators=2, min_ids_leaf=10)).fit(two)
     assert rival.causes_ == [1, 2] and rival.predict_risk(two, 1.0, cause=2).where("risk between 0 and 1").count() > 0
