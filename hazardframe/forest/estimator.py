@@ -151,13 +151,16 @@ class _Forest(Parameters):
         """Grow the forest; returns self. ``block_time`` names a column whose value tells a row's block, instead of cutting rows."""
         self._check()
         spark = cp.df.sparkSession
+        needed = dict.fromkeys([cp.id, cp.start, cp.stop, cp.event, *cp.features, *([cp.measured_at] if cp.measured_at else []), *([block_time] if block_time else [])])
+        given = cp.df.select(*needed).persist()  # read by the checks, the levels and the design
+        cp = cp.with_df(given)
         self.encoder_ = reshape.CategoryEncoder(categorical).fit(cp.df, list(cp.features))
         frame.validate(cp, gap_policy, layout)
         self.fingerprint_ = frame.fingerprint(cp.df, {k: v for k, v in self.get_params().items() if k != "n_jobs"})
         rows, self.causes_ = self._coded(cp)
         names = [f"x{i}" for i in range(len(self.encoder_.names))]
         extra = [block_time] if block_time and block_time not in cp.features else []
-        encoded = self.encoder_.transform(rows.df.select(cp.id, cp.start, cp.stop, cp.event, *extra, *cp.features))
+        encoded = self.encoder_.transform(rows.df.select(cp.id, cp.start, cp.stop, cp.event, *extra, *cp.features), unknown="missing")
         encoded = encoded.select(
             F.col(cp.id).alias("id"), F.col(cp.start).cast("double").alias("start"), F.col(cp.stop).cast("double").alias("stop"), F.col(cp.event).cast("int").alias("event"),
             (F.col(f"`{block_time}`") if block_time else F.lit(None)).cast("double").alias("block_time"),
@@ -192,8 +195,8 @@ class _Forest(Parameters):
             edges[r.feature].append(r.edge)
         self.edges_ = edges
         units = self.design_.select("unit").distinct()
-        self.n_units_ = units.count()
-        self.n_ids_ = self.design_.select("id").distinct().count()
+        self.n_rows_, self.n_units_, self.n_ids_ = self.design_.agg(F.count("*"), F.countDistinct("unit"), F.countDistinct("id")).first()
+        given.unpersist()
         self.n_encoded_features_ = len(names)
         self.seed_ = int(self.random_state) if self.random_state is not None else 0
         self.bags = frames.draw_bags(units, "unit", self.n_estimators, self._n_draw(self.n_units_), self.seed_, self.bootstrap).persist()
@@ -217,7 +220,7 @@ class _Forest(Parameters):
         bagged = self.bags.join(rows, "unit").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("tree", "unit", "copy", "bins", "a", "b", "cause")
         limits, seed = self._limits(), self.seed_
         # a bag holds about its share of all rows; larger ones are first split from histograms
-        large = self.design_.count() * self._n_draw(self.n_units_) / self.n_units_ > self.max_node_rows
+        large = self.n_rows_ * self._n_draw(self.n_units_) / self.n_units_ > self.max_node_rows
         if large:
             above, bagged = levels.split_large_nodes(bagged, limits, seed, len(names), self.max_node_rows)
         else:
@@ -269,8 +272,8 @@ class _Forest(Parameters):
         self.leaf_stats = grown.where("kind = 'stat'").select("tree", "leaf", "cause", F.col("value").cast("int").alias("events"))
 
     def _load_arrays(self, spark: SparkSession) -> None:
-        nodes = self.nodes.toPandas().sort_values(["tree", "node"])
-        jumps = self.leaves.toPandas().sort_values(["tree", "leaf", "t", "cause"])
+        nodes = self.nodes.toArrow().to_pandas().sort_values(["tree", "node"])
+        jumps = self.leaves.toArrow().to_pandas().sort_values(["tree", "leaf", "t", "cause"])
         place = {n: i for i, n in enumerate(self.encoder_.names)}
         by_tree = dict(tuple(jumps.groupby("tree")))
         trees = []
