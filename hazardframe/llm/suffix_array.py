@@ -53,6 +53,10 @@ class SpanHash:
     def __call__(self, start: np.ndarray, length) -> np.ndarray:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
 
+    def every(self, length: int) -> np.ndarray:
+        """Hashes of all spans of ``length``, by start."""
+        return (self.sums[length:] - self.sums[:-length]) * self.inverse[: self.size - length + 1]
+
     def common(self, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
         """Lengths of the common prefixes of suffixes ``a`` and ``b``, up to ``depth``."""
         out = np.minimum(depth, self.size - np.maximum(a, b))

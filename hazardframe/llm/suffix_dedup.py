@@ -5,12 +5,15 @@ grams. Equal windows have equal labels, so a maximal run of windows with one
 label (a stretch of text) can only repeat windows of stretches with that label,
 and labels deal the corpus into shards that need nothing from one another.
 
-A label that one stretch alone has is dropped, unless its gram occurs there twice. Stretches with the same label and the same
-bytes repeat all their windows; one of them goes on for the others. Where a label
-has stretches with different bytes, their bytes are fetched and the shard's suffix
-array is built by :mod:`suffix_array`, in shards of bounded size, whose queues lie
-on disk beyond a bound of memory. A label's stretches are not split, however
-common the label is; they are streamed, and only stretches that differ are sorted.
+A label that one stretch alone has is dropped, unless its gram occurs there twice.
+Labels and contents are counted by aggregates that are summed before they are
+shuffled, and joined back in joins that Spark can split where a key is hot.
+Stretches with the same label and the same bytes repeat all their windows; one of
+them goes on for the others. Where a label has stretches with different bytes,
+their bytes are fetched and the suffix array of a shard of labels is built by
+:mod:`suffix_array`. A label with more different bytes than a shard may hold, such
+as that of a passage in very many contexts, is not gathered at all: its windows are
+counted by their 128-bit hashes instead, again summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hazardframe.llm.common import SLICE, arrow_schema, gathered, map_rows, stored, text_of, type_of
 from hazardframe.llm.suffix_array import SpanHash, repeated_positions
 
 DEPTH = 200
-#: Bytes of a shard, a label's stretches apart, and of a task's shards.
-SHARD, TASK = 1 << 20, 16 << 20
+#: Bytes of a shard (the last label of one may exceed it), of a task's shards, and
+#: of a label's different stretches beyond which its windows are counted instead.
+SHARD, TASK, HOT = 1 << 20, 16 << 20, 2 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,7 +56,7 @@ def stretches(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, []
     symbols = np.frombuffer(raw, dtype=np.uint8)
-    h = SpanHash(symbols)(np.arange(symbols.size - gram + 1), gram)
+    h = SpanHash(symbols).every(gram)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -87,17 +90,6 @@ def _cut(docs: DataFrame, id_col: str, depth: int) -> DataFrame:
     return map_rows(docs, schema, kernel)
 
 
-def _sorted_out(rows: DataFrame, n: int) -> DataFrame:
-    """Stretches that repeat or could: ``copies`` of the content, ``turn`` among them, ``several`` contents of the label.
-
-    One shuffle by label and one sort serve both windows.
-    """
-    same, label = Window.partitionBy("label", "content"), Window.partitionBy("label")
-    counted = rows.repartition(n, "label").withColumns({"copies": F.count("*").over(same), "turn": F.row_number().over(same.orderBy("text_hash"))})
-    counted = counted.withColumn("several", F.min("content").over(label) != F.max("content").over(label))
-    return counted.where("copies > 1 or several or twice").drop("content")
-
-
 def _judged(rows: DataFrame, id_col: str, depth: int, shard: int) -> DataFrame:
     """(id, text_hash, start, stop) of what repeats in the lone stretches of sorted (label, bytes) rows."""
     schema = f"`{id_col}` {type_of(rows, id_col)}, text_hash bigint, start int, stop int"
@@ -131,7 +123,52 @@ def _judged(rows: DataFrame, id_col: str, depth: int, shard: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
+def _fetched(keyed: DataFrame, wanted: DataFrame, id_col: str, depth: int) -> DataFrame:
+    """The bytes of ``wanted`` stretches: (label, id, text_hash, first, lone, bytes)."""
+    by_text = wanted.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "windows", "label", "lone")).alias("_wanted"))
+    with_text = keyed.join(by_text, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+
+    def fetch(ids, hashes, texts, lists):
+        out: dict[str, list] = {"label": [], id_col: [], "text_hash": [], "first": [], "lone": [], "bytes": []}
+        for doc, digest, text, found in zip(ids, hashes, texts, lists, strict=True):
+            raw = text.encode()
+            for s in found:
+                out["label"].append(s["label"])
+                out[id_col].append(doc)
+                out["text_hash"].append(digest)
+                out["first"].append(s["first"])
+                out["lone"].append(s["lone"])
+                out["bytes"].append(raw[s["first"] : s["first"] + s["windows"] + depth - 1])
+        return out
+
+    schema = f"label bigint, `{id_col}` {type_of(keyed, id_col)}, text_hash bigint, first int, lone boolean, bytes binary"
+    return map_rows(with_text.select(id_col, "text_hash", "_text", "_wanted"), schema, fetch)
+
+
+def _counted(pieces: DataFrame, id_col: str, depth: int) -> DataFrame:
+    """What :func:`_judged` gives, one span a window, by counting the windows' hashes."""
+
+    def opened(labels, ids, hashes, firsts, lones, raws):
+        out: dict[str, list] = {"h1": [], "h2": [], id_col: [], "text_hash": [], "start": [], "lone": []}
+        for doc, digest, first, lone, raw in zip(ids, hashes, firsts, lones, raws, strict=True):
+            for k in range(len(raw) - depth + 1):
+                h = xxhash.xxh3_128_intdigest(raw[k : k + depth])
+                out["h1"].append((h >> 64) - (1 << 63))
+                out["h2"].append((h & (1 << 64) - 1) - (1 << 63))
+                out[id_col].append(doc)
+                out["text_hash"].append(digest)
+                out["start"].append(first + k)
+                out["lone"].append(lone)
+        return out
+
+    schema = f"h1 bigint, h2 bigint, `{id_col}` {type_of(pieces, id_col)}, text_hash bigint, start int, lone boolean"
+    windows = map_rows(pieces, schema, opened)
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    found = windows.where("lone").join(twice, ["h1", "h2"], "left_semi")
+    return found.select(id_col, "text_hash", "start", (F.col("start") + depth).alias("stop"))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, text_hash, spans): byte ranges covered by strings of ``depth`` bytes that start anywhere else, too.
 
     One row per id and text that has any; the ranges may overlap.
@@ -140,33 +177,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
-    places = stored(gathered(_sorted_out(_cut(keyed, id_col, depth), n)), "stretches")
-    whole = places.where("copies > 1").select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
+    cut = _cut(keyed, id_col, depth)
+    labels = cut.groupBy("label").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"), F.max("twice").alias("inner"))
+    labels = labels.where("n > 1 or inner").select("label", "several")
+    places = stored(gathered(cut.join(labels, "label")), "stretches")
+    contents = places.groupBy("label", "content").agg(
+        F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("twice").alias("twice"), F.max("several").alias("several")
+    )
+    copied = contents.where("copies > 1").select("label", "content")
+    whole = places.join(copied, ["label", "content"], "left_semi")
+    spans = whole.select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
     # one of each content is sorted; only the windows of those that occur once are still to be judged
-    differing = places.where("turn = 1 and (several or (twice and copies = 1))").withColumn("lone", F.col("copies") == 1)
-    size = differing.agg(F.sum(F.col("windows").cast("long") + depth)).first()[0] or 0
+    differing = contents.where("several or (twice and copies = 1)").select("one.*", "label", (F.col("copies") == 1).alias("lone"))
+    differing = stored(differing, "differing", n)
+    sizes = differing.groupBy("label").agg(F.sum(F.col("windows").cast("long") + depth).alias("bytes"))
+    size, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    if largest and largest > hot:
+        common = sizes.where(F.col("bytes") > hot).select("label")
+        pieces = _fetched(keyed, differing.join(common, "label", "left_semi"), id_col, depth)
+        spans = spans.unionAll(_counted(pieces, id_col, depth))
+        differing = differing.join(common, "label", "left_anti")
     if size:
-        wanted = differing.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "windows", "label", "lone")).alias("_wanted"))
-        with_text = keyed.join(wanted, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-
-        def fetch(ids, hashes, texts, wanted):
-            out: dict[str, list] = {"label": [], id_col: [], "text_hash": [], "first": [], "lone": [], "bytes": []}
-            for doc, digest, text, stretches in zip(ids, hashes, texts, wanted, strict=True):
-                raw = text.encode()
-                for s in stretches:
-                    out["label"].append(s["label"])
-                    out[id_col].append(doc)
-                    out["text_hash"].append(digest)
-                    out["first"].append(s["first"])
-                    out["lone"].append(s["lone"])
-                    out["bytes"].append(raw[s["first"] : s["first"] + s["windows"] + depth - 1])
-            return out
-
-        schema = f"label bigint, `{id_col}` {type_of(docs, id_col)}, text_hash bigint, first int, lone boolean, bytes binary"
-        pieces = map_rows(with_text.select(id_col, "text_hash", "_text", "_wanted"), schema, fetch)
+        pieces = _fetched(keyed, differing, id_col, depth)
         dealt = pieces.repartition(max(n, math.ceil(size / TASK)), "label").sortWithinPartitions("label")
-        whole = whole.unionAll(_judged(dealt, id_col, depth, shard))
-    return whole.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+        spans = spans.unionAll(_judged(dealt, id_col, depth, shard))
+    return spans.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -180,7 +215,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs`` with what repeats in the corpus removed from the text.
 
     Returns id, ``n_bytes``, ``removed`` (maximal removed byte ranges) and
@@ -191,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("_hash"), text.alias("_text"))
-    spans = repeated_spans(docs, id_col, text_col, depth, shard).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash"), "spans")
+    spans = repeated_spans(docs, id_col, text_col, depth, shard, hot).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text_hash"), "spans")
     both = keyed.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left")
 
     def kernel(ids, texts, found):
@@ -210,7 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return map_rows(gathered(both.select(id_col, "_text", "spans")), schema, kernel)
 
 
-def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD) -> DataFrame:
+def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """Counts and digests of what :func:`remove_repeats` does, one row per document."""
 
     def kernel(ids, sizes, removed, kept):
@@ -223,4 +258,4 @@ def repeat_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         }
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return map_rows(remove_repeats(docs, id_col, text_col, depth, shard), schema, kernel)
+    return map_rows(remove_repeats(docs, id_col, text_col, depth, shard, hot), schema, kernel)

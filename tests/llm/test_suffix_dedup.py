@@ -46,7 +46,7 @@ def corpus(seed, n=60):
 @pytest.mark.parametrize("depth", [20, 50])
 def test_rows(spark, docs_of, seed, depth):
     rows = corpus(seed)
-    out = sd.repeat_digest(docs_of(rows, 3), depth=depth, shard=[sd.SHARD, 300, 1][seed])
+    out = sd.repeat_digest(docs_of(rows, 3), depth=depth, shard=[sd.SHARD, 300, 1][seed], hot=[sd.HOT, 1, 300][seed])
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows, depth)
 
 
