@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import SLICE, arrow_schema, gathered, partitions, stored, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, partitions, stored, text_of, type_of, unused
 
 GRAM, ADJACENT = 3, 2
 SIMILAR = 0.8
@@ -254,6 +254,7 @@ def _rows(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
     """The rows of ``docs`` that hold no test item, unchanged."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(text_of(text_col)) == F.col("_h"))
+    i, h = unused(docs, "_leak_id"), unused(docs, "_leak_hash")
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_of(text_col)) == F.col(h))
     return gathered(docs.join(leaks, same, "left_anti"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, stored, text_of, type_of
+from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, stored, text_of, type_of, unused
 from hazardframe.llm.components import components
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -215,7 +215,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
     best = prints.groupBy("number").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
     kept = best.join(roots(prints, id_col), "number").groupBy("root").agg(F.min("best").alias("best"))
-    kept = kept.select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(text_of(text_col)))
-    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return gathered(rows.dropDuplicates([id_col, "_hash"]).select(docs.columns))
+    i, h, own = (unused(docs, x) for x in ("_kept_id", "_kept_hash", "_own_hash"))
+    kept = kept.select(F.col("best.i").alias(i), F.col("best.h").alias(h)).distinct()
+    rows = docs.withColumn(own, F.xxhash64(text_of(text_col)))
+    rows = rows.join(kept, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi")
+    return gathered(rows.dropDuplicates([id_col, own]).select(*(F.col(f"`{c}`") for c in docs.columns)))
