@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from hazardframe.errors import UndefinedMetricError
 from hazardframe.frame import CountingProcess
 from hazardframe.functions import steps_below
+from hazardframe.operators import pairs
 from hazardframe.operators.estimators import censoring_survival, step_lookup
 
 
@@ -125,75 +126,74 @@ def auc_cumulative(df: DataFrame, w: float, cause: int | None = None, censor: Da
     return per.agg(F.try_divide(num, F.sum("a") * F.sum("b")).alias("auc"))
 
 
-def _pairs(cases: DataFrame, others: DataFrame, meets: Column, weight: Column, buckets: int) -> DataFrame:
-    """``num`` and ``den`` over pairs of ``cases`` (``t, r, w, g``) and ``others`` that ``meets`` admits.
+def _negative(table: DataFrame) -> DataFrame:
+    return table.select((-F.col("num")).alias("num"), (-F.col("den")).alias("den"))
 
-    A case meets others of every risk; the join is an equality on buckets of the
-    time (each row opened into the buckets that it covers) with the exact
-    conditions behind it.
-    """
-    joined = cases.join(others, (cases._b == others._b) & meets)
-    agrees = F.when(F.col("r") > F.col("r2"), 1.0).when(F.col("r") == F.col("r2"), 0.5).otherwise(0.0)
-    return joined.agg(F.coalesce(F.sum(weight * agrees), F.lit(0.0)).alias("num"), F.coalesce(F.sum(weight), F.lit(0.0)).alias("den"))
-
-
-def _time_edges(df: DataFrame, buckets: int) -> list[float]:
-    cuts = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.agg(F.percentile_approx("stop", cuts, 1000).alias("e")).first().e or [])) if buckets > 1 else []
 
+def _at_risk_pairs(df: DataFrame, is_case: Column, weight: Column, group: Column, ranges: int) -> list[DataFrame]:
+    """Cases against rows at risk at the case's time, but rows with any event then and rows of its group.
 
-def _at_risk_pairs(df: DataFrame, is_case: Column, weight: Column, group: Column, buckets: int) -> DataFrame:
-    """Cases against rows at risk at the case's time, but rows with any event then and rows of its group."""
-    edges = _time_edges(df, buckets)
-    place = lambda c: steps_below(edges, c) if edges else F.lit(0)
-    cases = df.where(is_case).select(F.col("stop").alias("t"), F.col("risk").alias("r"), weight.alias("w"), group.alias("g"), place(F.col("stop")).alias("_b"))
-    others = df.select(F.col("start").alias("a"), F.col("stop").alias("z"), (F.col("event") != 0).alias("e"), F.col("risk").alias("r2"), group.alias("g2"))
-    others = others.withColumn("_b", F.explode(F.sequence(place(F.col("a")), place(F.col("z")))))
-    meets = (others.a < cases.t) & (cases.t <= others.z) & ~(others.e & (others.z == cases.t)) & (cases.g != others.g2)
-    return _pairs(cases, others, meets, F.col("w"), buckets)
-
-
-def _competing_pairs(df: DataFrame, is_case: Column, cause: int, weight: Column, group: Column) -> DataFrame:
-    """Cases against rows with another cause's event no later, by sums over (time, risk) of the latter.
-
-    Both sides are first summed by time and risk, which leaves distinct values.
+    Those at risk are those that entered before less those that left before.
     """
+    one = F.lit(1.0).alias("w")
+    cases = df.where(is_case).select(F.col("stop").alias("t"), F.col("risk").alias("r"), weight.alias("w"), group.alias("g"))
+    entered = df.select(F.col("start").alias("t"), F.col("risk").alias("r"), one)
+    left = df.select(F.col("stop").alias("t"), F.col("risk").alias("r"), one)
+    ended = df.where("event != 0").select(F.col("stop").alias("t"), F.col("risk").alias("r"), one)
+    rows = df.select(F.col("start").alias("a"), F.col("stop").alias("z"), (F.col("event") != 0).alias("e"), F.col("risk").alias("r2"), F.lit(1.0).alias("w2"), group.alias("g2"))
+    own = pairs.own_group_pairs(cases, rows, lambda c, o: (o.a < c.t) & (c.t <= o.z) & ~(o.e & (o.z == c.t)))
+    return [
+        pairs.earlier_pairs(cases, entered, ranges=ranges),
+        _negative(pairs.earlier_pairs(cases, left, ranges=ranges)),
+        _negative(pairs.equal_time_pairs(cases, ended)),
+        _negative(own),
+    ]
+
+
+def _competing_pairs(df: DataFrame, is_case: Column, cause: int, weight: Column, group: Column, ranges: int) -> list[DataFrame]:
+    """Cases against rows of other groups with another cause's event no later."""
     cases = df.where(is_case).select(F.col("stop").alias("t"), F.col("risk").alias("r"), weight.alias("w"), group.alias("g"))
-    rivals = df.where((F.col("event") != 0) & (F.col("event") != cause)).select(F.col("stop").alias("t2"), F.col("risk").alias("r2"), weight.alias("w2"), group.alias("g2"))
-    joined = cases.join(rivals, (rivals.t2 <= cases.t) & (cases.g != rivals.g2))
-    agrees = F.when(F.col("r") > F.col("r2"), 1.0).when(F.col("r") == F.col("r2"), 0.5).otherwise(0.0)
-    w = F.col("w") * F.col("w2")
-    return joined.agg(F.coalesce(F.sum(w * agrees), F.lit(0.0)).alias("num"), F.coalesce(F.sum(w), F.lit(0.0)).alias("den"))
+    rivals = df.where((F.col("event") != 0) & (F.col("event") != cause))
+    earlier = rivals.select(F.col("stop").alias("t"), F.col("risk").alias("r"), weight.alias("w"))
+    rows = rivals.select(F.col("stop").alias("z"), F.col("risk").alias("r2"), weight.alias("w2"), group.alias("g2"))
+    own = pairs.own_group_pairs(cases, rows, lambda c, o: o.z <= c.t)
+    return [pairs.earlier_pairs(cases, earlier, inclusive=True, ranges=ranges), _negative(own)]
 
 
 def _share(parts: list[DataFrame]) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionAll(p)
-    return both.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("concordance"), F.sum("den").alias("pairs"))
+    sums = both.agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    # differences of sums of weights: what is left of an empty one is rounding
+    den = F.when(F.col("den") > 1e-9, F.col("den"))
+    return sums.select((F.col("num") / den).alias("concordance"), F.coalesce(den, F.lit(0.0)).alias("pairs"))
 
 
-def concordance(df: DataFrame, id: str = "id", buckets: int = 16) -> DataFrame:
+def concordance(df: DataFrame, id: str = "id", ranges: int | None = None) -> DataFrame:
     """``concordance, pairs``: each event against rows at risk at its time, of other ids and without an event then.
 
-    Risk ties count one half; null without pairs.
+    Risk ties count one half; null without pairs. No pairs are made: see
+    :mod:`hazardframe.operators.pairs`, whose number of ``ranges`` follows the rows.
     """
-    return _share([_at_risk_pairs(df, F.col("event") != 0, F.lit(1.0), F.col(id), buckets)])
+    return _share(_at_risk_pairs(df, F.col("event") != 0, F.lit(1.0), F.col(id), ranges or pairs.ranges_for(df)))
 
 
-def concordance_competing(df: DataFrame, cause: int, id: str = "id", buckets: int = 16) -> DataFrame:
+def concordance_competing(df: DataFrame, cause: int, id: str = "id", ranges: int | None = None) -> DataFrame:
     """As :func:`concordance` for events of ``cause``, and against other causes' events no later."""
-    case = F.col("event") == cause
-    return _share([_at_risk_pairs(df, case, F.lit(1.0), F.col(id), buckets), _competing_pairs(df, case, cause, F.lit(1.0), F.col(id))])
+    case, one, group = F.col("event") == cause, F.lit(1.0), F.col(id)
+    ranges = ranges or pairs.ranges_for(df)
+    return _share(_at_risk_pairs(df, case, one, group, ranges) + _competing_pairs(df, case, cause, one, group, ranges))
 
 
-def cindex_incident(df: DataFrame, w: float, cause: int | None = None, censor: DataFrame | None = None, g_min: float = 0.05, buckets: int = 16) -> DataFrame:
+def cindex_incident(df: DataFrame, w: float, cause: int | None = None, censor: DataFrame | None = None, g_min: float = 0.05, ranges: int | None = None) -> DataFrame:
     """Concordance of events by ``w`` weighted by squared censoring weights; competing events weigh by both weights."""
-    rows = ipcw(df.withColumn("start", F.lit(0.0)), w, cause, censor, g_min).withColumn("_row", F.monotonically_increasing_id())
-    case = F.col("case")
-    parts = [_at_risk_pairs(rows, case, F.col("weight") * F.col("weight"), F.col("_row"), buckets)]
+    rows = ipcw(df.withColumn("start", F.lit(0.0)), w, cause, censor, g_min).withColumn("_row", F.lit(None).cast("long"))
+    case, weight, none = F.col("case"), F.col("weight"), F.col("_row")  # rows are subjects: no group to leave out
+    ranges = ranges or pairs.ranges_for(df)
+    parts = _at_risk_pairs(rows, case, weight * weight, none, ranges)
     if cause is not None:
-        parts.append(_competing_pairs(rows, case, cause, F.col("weight"), F.col("_row")))
+        parts += _competing_pairs(rows, case, cause, weight, none, ranges)
     return _share(parts)
 
 

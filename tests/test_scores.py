@@ -89,16 +89,30 @@ def naive_concordance(rows, cause=None):
     return num / den
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
-def test_concordance_against_pairs(spark, buckets):
+@pytest.mark.parametrize("ranges", [None, 2, 7])
+def test_concordance_against_pairs(spark, ranges):
     rng = np.random.default_rng(3)
     start = rng.integers(0, 4, 60)
     rows = [(int(i), float(a), float(a + d), int(e), float(r)) for i, a, d, e, r in zip(range(60), start, rng.integers(1, 6, 60), rng.integers(0, 3, 60), rng.integers(0, 8, 60), strict=True)]
     df = spark.createDataFrame(rows, CP + ", risk double")
-    assert abs(mt.defined(mt.concordance(df, buckets=buckets), "concordance") - naive_concordance(rows)) < 1e-12
-    assert abs(mt.defined(mt.concordance_competing(df, 1, buckets=buckets), "concordance") - naive_concordance(rows, 1)) < 1e-12
+    assert abs(mt.defined(mt.concordance(df, ranges=ranges), "concordance") - naive_concordance(rows)) < 1e-12
+    assert abs(mt.defined(mt.concordance_competing(df, 1, ranges=ranges), "concordance") - naive_concordance(rows, 1)) < 1e-12
     with pytest.raises(UndefinedMetricError):
-        mt.defined(mt.concordance(df.where("event = 0"), buckets=buckets), "concordance")
+        mt.defined(mt.concordance(df.where("event = 0"), ranges=ranges), "concordance")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_earlier_smaller(seed):
+    from hazardframe.operators.pairs import earlier_smaller
+
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(0, 70))
+    order, rank, case, weight = rng.permutation(n), rng.integers(0, 8, n), rng.random(n) < 0.5, rng.random(n)
+    got = earlier_smaller(order, rank, case, weight)
+    for i in np.flatnonzero(case):
+        earlier = ~case & (order < order[i])
+        want = weight[earlier & (rank < rank[i])].sum() + weight[earlier & (rank == rank[i])].sum() / 2
+        assert abs(got[i] - want) < 1e-12
 
 
 def test_competing_brier_and_auc(spark):
