@@ -17,7 +17,7 @@ from hazardframe.llm.common import map_rows, text_of
 #: Features are hashed to this many places; a model keeps only those it selects.
 SPACE = 1 << 24
 #: Words whose features a task remembers; the memory is emptied when full.
-REMEMBERED = 50_000
+REMEMBERED = 100_000
 
 MARKS = string.punctuation
 #: Letters that stand for a word's stem.
@@ -28,8 +28,12 @@ LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 
 
-def _slot(kind: str, name: str) -> int:
-    return zlib.crc32(f"{kind}:{name}".encode()) % SPACE
+#: Kinds of features start the hash apart.
+WORD_KIND, SHAPE_KIND, STEM_KIND, STATISTIC_KIND = 1, 2, 3, 4
+
+
+def _slot(kind: int, name: str) -> int:
+    return zlib.crc32(name.encode(), kind) % SPACE
 
 
 class Extractor:
@@ -41,46 +45,54 @@ class Extractor:
 
     def _word(self, word: str) -> tuple[int, int, int]:
         """Slots of the word, its shape, and its first letters (-1 if it has no more)."""
-        if (found := self.known.get(word)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            core = word.strip(MARKS)
-            letter = "A" if word.isupper() else "a"
-            if core.isalpha():
-                at = word.find(core)
-                shape = f"{word[:at]}{letter}{word[at + len(core) :]}"[:8]
-            else:
-                shape = DIGITS.sub("9", LETTERS.sub(letter, word[:64]))[:8]
-            if (place := self.shapes.get(shape)) is None:
-                if len(self.shapes) >= REMEMBERED:
-                    self.shapes.clear()
-                place = self.shapes[shape] = _slot("f", shape)
-            core = core.lower()
-            found = self.known[word] = (_slot("w", core), place, _slot("p", core[:STEM]) if len(core) > STEM else -1)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        core = word.strip(MARKS)
+        letter = "A" if word.isupper() else "a"
+        if len(core) == len(word) and core.isalpha():
+            shape = letter
+        elif core.isalpha():
+            at = word.find(core)
+            shape = f"{word[:at]}{letter}{word[at + len(core) :]}"[:8]
+        else:
+            shape = DIGITS.sub("9", LETTERS.sub(letter, word[:64]))[:8]
+        if (place := self.shapes.get(shape)) is None:
+            if len(self.shapes) >= REMEMBERED:
+                self.shapes.clear()
+            place = self.shapes[shape] = _slot(SHAPE_KIND, shape)
+        core = core.lower()
+        found = self.known[word] = (_slot(WORD_KIND, core), place, _slot(STEM_KIND, core[:STEM]) if len(core) > STEM else -1)
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(slots ascending, how often each occurs); statistics count once."""
         words = text.split()
-        counts: Counter[int] = Counter()
-        stems: Counter[int] = Counter()
-        for word, n in Counter(words).items():
-            a, b, stem = self._word(word)
-            counts[a] += n
-            counts[b] += n
-            stems[stem] += n
-        stems.pop(-1, None)
-        often = max(2, DENSE * len(words))
-        counts.update({(slot * 31 + 7) % SPACE: n for slot, n in stems.items() if n >= often})
-        counts.update(stems)
-        for name, value in statistics(text, words).items():
-            counts[_slot("s", f"{name}:{value}")] = 1
-        slots = np.fromiter(counts.keys(), dtype=np.int64, count=len(counts))
-        order = np.argsort(slots)
-        return slots[order], np.fromiter(counts.values(), dtype=np.float32, count=len(counts))[order]
-
-
-def statistics(text: str, words: list[str]) -> dict[str, int]:
+        distinct = Counter(words)
+        known, new = self.known.get, self._word
+        found = np.array([known(w) or new(w) for w in distinct], dtype=np.int64).reshape(-1, 3)
+        times = np.fromiter(distinct.values(), dtype=np.float64, count=len(distinct))
+        stems, n = _summed(found[:, 2], times)
+        if stems.size and stems[0] < 0:
+            stems, n = stems[1:], n[1:]
+        often = n >= max(2, DENSE * len(words))
+        single = np.array([_slot(STATISTIC_KIND, f"{name}:{value}") for name, value in statistics(text, words, distinct).items()], dtype=np.int64)
+        slots = np.concatenate([found[:, 0], found[:, 1], stems, (stems[often] * 31 + 7) % SPACE, single])
+        counts = np.concatenate([times, times, n, n[often], np.ones(single.size)])
+        slots, counts = _summed(slots, counts)
+        return slots, counts.astype(np.float32)
+
+
+def _summed(slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots, ascending, with the sums of their counts."""
+    if not slots.size:
+        return slots, counts
+    order = np.argsort(slots)
+    slots = slots[order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+    return slots[first], np.add.reduceat(counts[order], first)
+
+
+def statistics(text: str, words: list[str], distinct: Counter[str]) -> dict[str, int]:
     """Structure of a text, each figure in a few bins."""
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     seen = np.bincount(raw, minlength=256)
@@ -100,12 +112,12 @@ def statistics(text: str, words: list[str]) -> dict[str, int]:
         "odd_marks": share(marks - plain, n),
         "spaces": share(seen[32], size),
         "other_bytes": share(seen[128:].sum(), size, 10),
-        "distinct_words": share(len(set(words)), n),
+        "distinct_words": share(len(distinct), n),
         "lines": int(np.log2(1 + len(lines))),
         "repeated_lines": share(len(lines) - len(set(lines)), len(lines)),
         "words_a_line": min(12, int(np.log2(1 + n / max(1, len(lines))))),
-        "longest_word": min(12, int(np.log2(1 + max(map(len, words), default=0)))),
-        "top_word": share(max(Counter(words).values(), default=0), n),
+        "longest_word": min(12, int(np.log2(1 + max(map(len, distinct), default=0)))),
+        "top_word": share(max(distinct.values(), default=0), n),
     }
 
 

@@ -60,10 +60,18 @@ class FactorisationMachine:
                 self.w[at] -= rate * dw / np.sqrt(gw[at])
                 self.v[at] -= rate * dv / np.sqrt(gv[at])
                 self.w0 -= 0.01 * g
+        return self.ready()
+
+    def ready(self) -> FactorisationMachine:
+        """Keep what scoring needs of the squares: one number a feature."""
+        self.squares = (self.v * self.v).sum(axis=1)
         return self
 
     def score(self, slots: np.ndarray, counts: np.ndarray) -> float:
-        return float(sigmoid(self.raw(*self.inputs(slots, counts))[0]))
+        at, x = self.inputs(slots, counts)
+        sums = x @ self.v[at]
+        raw = self.w0 + float(self.w[at] @ x) + 0.5 * (float(sums @ sums) - float((x * x) @ self.squares[at]))
+        return float(sigmoid(raw))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, mark: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:

@@ -55,6 +55,8 @@ def test_pairs_in_linear_time_equal_the_double_sum():
     slow = model.w0 + sum(model.w[i] * a for i, a in zip(at, x, strict=True))
     slow += sum(model.v[at[i]] @ model.v[at[j]] * x[i] * x[j] for i in range(4) for j in range(i + 1, 4))
     assert abs(model.raw(at, x)[0] - slow) < 1e-4
+    score = model.ready().score(np.array([0, 2, 3, 10, 58]), np.array([1, 2, 3, 1, 4], dtype=np.float32))
+    assert abs(score - 1 / (1 + np.exp(-slow))) < 1e-5
 
 
 def test_training_never_sees_held_out_rows(spark, corpus):
