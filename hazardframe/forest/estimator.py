@@ -2,8 +2,9 @@
 
 Fitting rewrites rows by plans (encoding, coarse grid, blocks, bins), draws bags by
 hash, and grows each tree from its bag's rows in one Arrow task; predictions are
-lazy DataFrames. A tree's bag must fit a task; ``ntime`` bounds the event times and
-``max_samples`` the bag.
+lazy DataFrames. Nodes of more than ``max_node_rows`` rows are split from histograms
+first; ``ntime`` bounds the event times, and ``binning="approximate"`` finds bins
+from quantile sketches where features have too many values to order.
 """
 
 from __future__ import annotations
@@ -85,6 +86,7 @@ class _Forest(Parameters):
         "n_jobs": None,
         "random_state": None,
         "max_node_rows": 2_000_000,
+        "binning": "exact",
     }
     competing = False
     aggregates: tuple[str, ...] = ("hazard", "survival")
@@ -97,6 +99,8 @@ class _Forest(Parameters):
         _whole("min_events_leaf", self.min_events_leaf, 1)
         _whole("oob_buffer", self.oob_buffer, 0, 1_000_000)
         _whole("max_node_rows", self.max_node_rows, 1)
+        if self.binning not in ("exact", "approximate"):
+            raise ValueError("binning must be 'exact' or 'approximate'")
         if self.max_depth is not None:
             _whole("max_depth", self.max_depth, 0)
         if self.ntime is not None:
@@ -191,7 +195,8 @@ class _Forest(Parameters):
         if not self.event_times_:
             raise ValidationError("there is no event")
         edges = {x: [] for x in names}
-        for r in reshape.feature_edges(self.design_, names, self.max_bins).orderBy("feature", "edge").collect():
+        edges_of = reshape.feature_edges if self.binning == "exact" else reshape.approximate_edges
+        for r in edges_of(self.design_, names, self.max_bins).orderBy("feature", "edge").collect():
             edges[r.feature].append(r.edge)
         self.edges_ = edges
         units = self.design_.select("unit").distinct()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,8 +59,18 @@ def running(by: list[str], *order) -> Window:
     return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
+#: Sorted numbers beyond which a lookup is a binary search in Arrow batches and not an expression.
+LISTED = 4096
+
+
 def steps_below(ascending: list[float], value: Column, inclusive: bool = False) -> Column:
-    """How many of the sorted numbers lie below ``value`` (or at it), in about twice their root's length of steps."""
+    """How many of the sorted numbers lie below ``value`` (or at it); 0 for null.
+
+    Up to ``LISTED`` numbers are an expression that takes about twice their root's
+    length of steps; more are searched in Arrow batches.
+    """
+    if len(ascending) > LISTED:
+        return F.when(value.isNotNull(), _searched(np.asarray(ascending, dtype=float), inclusive)(value.cast("double"))).otherwise(0)
     step = math.isqrt(len(ascending)) + 1
     chunks = [ascending[i : i + step] for i in range(0, len(ascending), step)] or [[math.inf]]
     listed = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
@@ -68,6 +80,13 @@ def steps_below(ascending: list[float], value: Column, inclusive: bool = False)
     return F.when(full == 0, F.lit(0)).otherwise((full - 1) * step + inside)
 
 
+def _searched(ascending: np.ndarray, inclusive: bool):
+    def search(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(ascending, values.to_numpy(float), side="right" if inclusive else "left").astype(np.int32))
+
+    return F.pandas_udf(search, "int")
+
+
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded, so that the order of summation does not show."""
     return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))

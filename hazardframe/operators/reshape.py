@@ -171,6 +171,19 @@ def oob_sets(rows: DataFrame, units: DataFrame, buffer: int, id: str = "id") ->
     return wide.join(units.select(id, "block"), [id, "block"]).select("row_key", id, "block")
 
 
+def approximate_edges(df: DataFrame, features: list[str], max_bins: int, accuracy: int = 10_000) -> DataFrame:
+    """:func:`feature_edges` from mergeable quantile sketches: one aggregate, no ordering of values.
+
+    Features of few values get edges at values and not midway between them.
+    """
+    cuts = [q / max_bins for q in range(1, max_bins)]
+    clean = [F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features]
+    sketches = [F.struct(F.lit(f).alias("feature"), F.percentile_approx(x, cuts, accuracy).alias("e"), F.max(x).alias("top")) for f, x in zip(features, clean, strict=True)]
+    rows = df.agg(F.array(*sketches).alias("s")).select(F.explode("s").alias("s")).select("s.*")
+    inner = rows.select("feature", F.explode(F.array_distinct(F.filter("e", lambda x: x < F.col("top")))).alias("edge"))
+    return inner.select("feature", (F.row_number().over(Window.partitionBy("feature").orderBy("edge")) - 1).alias("j"), "edge")
+
+
 def feature_edges(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
     """Upper edges of bins: ``feature``, ``j`` from 0, ``edge``.
 
@@ -238,9 +251,10 @@ def quantile_codes(df: DataFrame, column: str, n: int, by: list[str] | None = No
         F.percentile(column, F.array(*map(F.lit, cuts))).alias("_cuts") if cuts else F.array().cast("array<double>").alias("_cuts"),
         F.countDistinct(column).alias("_distinct"),
     )
-    joined = df.join(F.broadcast(stats), group) if group else df.crossJoin(F.broadcast(stats))  # one row a group
-    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy(F.col(column).asc_nulls_last())) - 1
-    values = df.select(*group, column).where(F.col(column).isNotNull()).distinct().withColumn("_rank", rank)
+    joined = df.join(stats, group) if group else df.crossJoin(F.broadcast(stats))  # one row
+    # only groups of at most n values are ranked
+    few = joined.where((F.col("_distinct") <= n) & F.col(column).isNotNull()).select(*group, column).distinct()
+    values = few.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(column)) - 1)
     joined = joined.join(values, [*group, column], "left")
     below = F.size(F.filter(F.array_distinct("_cuts"), lambda e: e < F.col(column)))
     code = F.when(F.col(column).isNull(), None).when(F.col("_distinct") <= n, F.col("_rank")).otherwise(below)
@@ -252,7 +266,7 @@ def cross_codes(df: DataFrame, columns: list[str], name: str = "stratum") -> Dat
     missing = F.greatest(*(F.col(c).isNull() for c in columns)) if len(columns) > 1 else F.col(columns[0]).isNull()
     checked = df.withColumn("_ok", F.when(missing, F.raise_error(F.lit("strata must not be missing")).cast("boolean")).otherwise(True)).where("_ok").drop("_ok")
     codes = checked.select(*columns).distinct().withColumn(name, (F.row_number().over(Window.orderBy(*columns)) - 1).cast("long"))
-    return checked.join(F.broadcast(codes), columns)
+    return checked.join(codes, columns)
 
 
 def noise_column(df: DataFrame, key: str, seed: int, name: str = "noise") -> DataFrame:

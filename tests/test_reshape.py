@@ -157,3 +157,20 @@ def test_noise_is_reproducible(spark):
     b = {r.k: r.noise for r in reshape.noise_column(df.repartition(7), "k", 1).collect()}
     mean = sum(a.values()) / 4000
     assert a == b and abs(mean) < 0.06 and abs(sum((x - mean) ** 2 for x in a.values()) / 4000 - 1) < 0.1
+
+
+def test_long_lookups_and_sketched_edges(spark):
+    import numpy as np
+
+    from hazardframe.functions import steps_below
+
+    points = [float(x) for x in range(0, 20_000, 2)]
+    df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 2.0, 9_999.5, 1e9, None)], "x double")
+    for inclusive, side in ((False, "left"), (True, "right")):
+        got = [r.n for r in df.select(steps_below(points, F.col("x"), inclusive).alias("n")).collect()]
+        assert got == [int(np.searchsorted(points, v, side)) for v in (-1.0, 0.0, 1.0, 2.0, 9_999.5, 1e9)] + [0]
+    wide = spark.range(10_000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    edges = {}
+    for r in reshape.approximate_edges(wide, ["x", "y"], 4).collect():
+        edges.setdefault(r.feature, []).append(r.edge)
+    assert edges["y"] == [0.0, 1.0] and np.allclose(sorted(edges["x"]), [2500, 5000, 7500], atol=10)
