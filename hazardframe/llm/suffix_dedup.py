@@ -49,8 +49,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
-    """(first window, windows, label, whether the label's gram occurs twice) of the runs of windows with one label."""
+def stretches(raw: bytes, depth: int, twice: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+    """(first window, windows, label) of the runs of windows with one label, and if asked whether its gram occurs twice there."""
     gram = max(1, min(32, depth // 4))
     if len(raw) < depth:
         none = np.zeros(0, dtype=np.int64)
@@ -64,29 +64,51 @@ def stretches(raw: bytes, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.append(0, np.flatnonzero(label[1:] != label[:-1]) + 1)
     windows = np.diff(first, append=label.size)
     ends = (first + windows + depth - gram).tolist()
-    twice = [np.count_nonzero(h[a:z] == v) > 1 for a, z, v in zip(first.tolist(), ends, label[first], strict=True)]
-    return first, windows, label[first].view(np.int64), twice
+    again = [np.count_nonzero(h[a:z] == v) > 1 for a, z, v in zip(first.tolist(), ends, label[first], strict=True)] if twice else []
+    return first, windows, label[first].view(np.int64), again
+
+
+def contents_of(raw: bytes, first: np.ndarray, windows: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the bytes of each stretch."""
+    ends = (first + windows + depth - 1).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), ends, strict=True)], dtype=np.uint64).view(np.int64)
+
+
+def _labels(docs: DataFrame, depth: int) -> DataFrame:
+    """(label, several): labels of several stretches, or of one in which its gram occurs twice."""
+
+    def kernel(texts):
+        out: dict[str, list] = {"label": [], "content": [], "twice": []}
+        for text in texts:
+            raw = text.encode()
+            first, windows, label, twice = stretches(raw, depth, twice=True)
+            out["label"].append(label)
+            out["content"].append(contents_of(raw, first, windows, depth))
+            out["twice"] += twice
+        return {k: np.concatenate(v) if k != "twice" else v for k, v in out.items()}
+
+    rows = map_rows(docs.select("_text"), "label bigint, content bigint, twice boolean", kernel)
+    counted = rows.groupBy("label").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"), F.max("twice").alias("twice"))
+    return counted.where("n > 1 or twice").select("label", "several")
 
 
 def _cut(docs: DataFrame, id_col: str, depth: int) -> DataFrame:
     def kernel(ids, hashes, texts):
-        out: dict[str, list] = {"id": [], "text_hash": [], "first": [], "windows": [], "label": [], "content": [], "twice": []}
+        out: dict[str, list] = {"id": [], "text_hash": [], "first": [], "windows": [], "label": [], "content": []}
         for doc, digest, text in zip(ids, hashes, texts, strict=True):
             raw = text.encode()
-            first, windows, label, twice = stretches(raw, depth)
-            out["twice"] += twice
+            first, windows, label, _ = stretches(raw, depth)
             out["id"] += [doc] * first.size
             out["text_hash"] += [digest] * first.size
             out["first"].append(first)
             out["windows"].append(windows)
             out["label"].append(label)
-            ends = (first + windows + depth - 1).tolist()
-            out["content"].append(np.array([xxhash.xxh3_64_intdigest(raw[a:z]) for a, z in zip(first.tolist(), ends, strict=True)], dtype=np.uint64).view(np.int64))
+            out["content"].append(contents_of(raw, first, windows, depth))
         for name in ("first", "windows", "label", "content"):
             out[name] = np.concatenate(out[name])
         return {id_col if k == "id" else k: v for k, v in out.items()}
 
-    schema = f"`{id_col}` {type_of(docs, id_col)}, text_hash bigint, first int, windows int, label bigint, content bigint, twice boolean"
+    schema = f"`{id_col}` {type_of(docs, id_col)}, text_hash bigint, first int, windows int, label bigint, content bigint"
     return map_rows(docs, schema, kernel)
 
 
@@ -177,18 +199,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
-    cut = _cut(keyed, id_col, depth)
-    labels = cut.groupBy("label").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"), F.max("twice").alias("inner"))
-    labels = labels.where("n > 1 or inner").select("label", "several")
-    places = stored(gathered(cut.join(labels, "label")), "stretches")
-    contents = places.groupBy("label", "content").agg(
-        F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("twice").alias("twice"), F.max("several").alias("several")
-    )
+    places = stored(gathered(_cut(keyed, id_col, depth).join(_labels(keyed, depth), "label")), "stretches")
+    contents = places.groupBy("label", "content").agg(F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("several").alias("several"))
     copied = contents.where("copies > 1").select("label", "content")
     whole = places.join(copied, ["label", "content"], "left_semi")
     spans = whole.select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
-    # one of each content is sorted; only the windows of those that occur once are still to be judged
-    differing = contents.where("several or (twice and copies = 1)").select("one.*", "label", (F.col("copies") == 1).alias("lone"))
+    # a label of one stretch is there because its gram occurs twice; else several contents
+    # are sorted, one of each; only the windows of those that occur once are still to be judged
+    differing = contents.where("several or copies = 1").select("one.*", "label", (F.col("copies") == 1).alias("lone"))
     differing = stored(differing, "differing", n)
     sizes = differing.groupBy("label").agg(F.sum(F.col("windows").cast("long") + depth).alias("bytes"))
     size, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
