@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hazardframe.llm.common import stored, table
 from hazardframe.llm.decontaminate import without_leaks
+from hazardframe.llm.near_copies import keep_distinct
 from hazardframe.llm.packing import pack_documents
 from hazardframe.llm.quality import keep_good, train_quality
 from hazardframe.llm.secrets import redact_secrets
-from hazardframe.llm.simhash import keep_one
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return keep_one(docs)
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8."""
+    return keep_distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("packing", packing),

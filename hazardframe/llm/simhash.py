@@ -32,18 +32,23 @@ LIMITS = (256, 8192, 8192, 8192)
 FULL = (1 << BITS) - 1
 
 
-def simhash(text: str, width: int = WIDTH) -> int:
-    """The fingerprint as an unsigned number; words are cut at ASCII white space, A-Z in lower case."""
+def shingles(text: str, width: int = WIDTH) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, or of all words where they are fewer; words are cut at ASCII white space, A-Z in lower case."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     stop = np.cumsum(size + 1) - 1
     start = stop - size
     span = min(width, len(words)) - 1
     ends, digest = stop[span:].tolist(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), ends, strict=False)), dtype="<u8", count=len(ends))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start.tolist(), ends, strict=False)), dtype="<u8", count=len(ends))
+
+
+def simhash(text: str, width: int = WIDTH) -> int:
+    """The fingerprint as an unsigned number; zero for a text without words."""
+    hashes = shingles(text, width)
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, hashes.size, 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -213,8 +218,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A component of null ids keeps the row of the least text hash.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
+    return one_of_each(docs, prints, roots(prints, id_col), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, prints: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that ``keep_one`` keeps; ``prints`` has (id, number, text_hash), ``found`` (number, root)."""
     best = prints.groupBy("number").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_hash").alias("h"))).alias("best"))
-    kept = best.join(roots(prints, id_col), "number").groupBy("root").agg(F.min("best").alias("best"))
+    kept = best.join(found, "number").groupBy("root").agg(F.min("best").alias("best"))
     i, h, own = (unused(docs, x) for x in ("_kept_id", "_kept_hash", "_own_hash"))
     kept = kept.select(F.col("best.i").alias(i), F.col("best.h").alias(h)).distinct()
     rows = docs.withColumn(own, F.xxhash64(text_of(text_col)))
