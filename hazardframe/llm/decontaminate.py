@@ -9,7 +9,8 @@ for the alignment to reach the threshold whatever their order. With the counts o
 the whole corpus, of every two adjacent 3-grams of an item the rarer becomes a
 seed; places without a seed are left. A copy that keeps at least 0.8 of an item
 of 16 words or more by substitutions has four unchanged words in a row, which are
-two adjacent 3-grams and so hold a seed. Smith-Waterman aligns what is left.
+two adjacent 3-grams and so hold a seed. Smith-Waterman aligns what is left; the
+whole item is then aligned at the place where that leaves words uncounted.
 """
 
 from __future__ import annotations
@@ -162,6 +163,42 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int, int]:
     return matches / (n + inserted), matches, j, end
 
 
+def align_whole(item: np.ndarray, part: np.ndarray) -> tuple[float, int, int, int]:
+    """(similarity, matches, first word, end) of an alignment of all of ``item`` in ``part``.
+
+    Kept words count 1, inserted ones cost ``SIMILAR`` and replaced or dropped ones
+    nothing, so the best score reaches ``SIMILAR`` times the item's words where any
+    alignment has that similarity. The words run from the first kept one to the last.
+    """
+    n, m = item.size, part.size
+    if not n or not m:
+        return 0.0, 0, 0, 0
+    gain, cost = 5, 4  # 1 and SIMILAR in whole numbers
+    came = np.zeros((n + 1, m + 1), dtype=np.uint8)  # as in align
+    above, ramp = np.zeros(m + 1, dtype=np.int64), cost * np.arange(m + 1)
+    for k in range(1, n + 1):
+        both = np.where(part == item[k - 1], gain, 0) + above[:-1]
+        skip = above[1:]
+        row = np.zeros(m + 1, dtype=np.int64)
+        row[1:] = np.maximum(both, skip)
+        row = np.maximum.accumulate(row + ramp) - ramp
+        came[k, 1:] = np.select([row[1:] == both, row[1:] == skip], [1, 2], 3)
+        above = row
+    i, j = n, int(above.argmax())
+    first, end, matches, inserted = j, j, 0, 0
+    while i and j:
+        if came[i, j] == 1:
+            if part[j - 1] == item[i - 1]:
+                matches, first = matches + 1, j - 1
+            i, j = i - 1, j - 1
+        elif came[i, j] == 2:
+            i -= 1
+        else:
+            inserted += 1
+            j -= 1
+    return matches / (n + inserted), matches, first, end
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of about ``bound`` bytes; a block is the only thing that is collected."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
@@ -174,13 +211,16 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, bound: int) -> I
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bound: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bound: int = BLOCK, whole: bool = False
 ) -> DataFrame:
     """One row per document row and test item that it holds at a similarity of 0.8 or more.
 
     Returns id, ``text_hash``, ``item_id``, ``item_start`` (the passage's first word
     in an item that was cut), ``similarity``, ``matches`` and the
-    words ``word_start`` to ``word_end`` of the best alignment. Items of fewer
+    words ``word_start`` to ``word_end`` of the best alignment. That alignment is
+    local and may stop short of edits near an item's ends; with ``whole`` all of
+    the item is aligned where that finds more of it, so every copy that keeps 0.8
+    of the item's words is reported (where the seeds reach it). Items of fewer
     than three words, null ones among them, have no 3-gram and match nothing;
     equal items are each reported; a null text counts as empty and holds nothing;
     repeated rows are each reported; empty tables give an empty one.
@@ -199,7 +239,7 @@ def find_leaks(
             counts[r.gram] = r.n
         seeds = spark.sparkContext.broadcast(shared.value.seeds(counts))
         places = found.where("gram is null").select(id_col, "text_hash", "places")
-        aligned = places.mapInArrow(_align(shared, seeds, arrow_schema(spark, result_schema)), result_schema)
+        aligned = places.mapInArrow(_align(shared, seeds, arrow_schema(spark, result_schema), whole), result_schema)
         result = result.unionAll(aligned)
     return result
 
@@ -228,7 +268,7 @@ def _scan(shared, target: pa.Schema):
     return run
 
 
-def _align(shared, seeds, target: pa.Schema):
+def _align(shared, seeds, target: pa.Schema, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for batch in batches:
@@ -238,7 +278,10 @@ def _align(shared, seeds, target: pa.Schema):
                     best: dict[int, tuple] = {}
                     for p in places:
                         if seeds.value[p["grams"]].any():
-                            similar, matches, a, z = align(items.items[p["item"]], np.array(p["numbers"], dtype=np.int64))
+                            item, part = items.items[p["item"]], np.array(p["numbers"], dtype=np.int64)
+                            similar, matches, a, z = align(item, part)
+                            if whole and similar < 1:  # a local alignment stops short of edits near the item's ends
+                                similar, matches, a, z = max((similar, matches, a, z), align_whole(item, part), key=lambda x: x[0])
                             if similar >= SIMILAR and similar > best.get(p["item"], (0,))[0]:
                                 best[p["item"]] = (similar, matches, p["first"] + a, p["first"] + z)
                     out += [(doc, digest, items.ids[i], items.starts[i], *x) for i, x in sorted(best.items())]
@@ -252,9 +295,9 @@ def _rows(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item, unchanged."""
     i, h = unused(docs, "_leak_id"), unused(docs, "_leak_hash")
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **columns).select(F.col(id_col).alias(i), F.col("text_hash").alias(h)).distinct()
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(i), F.col("text_hash").alias(h)).distinct()
     same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(text_of(text_col)) == F.col(h))
     return gathered(docs.join(leaks, same, "left_anti"))

@@ -37,7 +37,7 @@ def op4_secrets(spark, sf_dir):
 
 
 def op5_decontaminate(spark, sf_dir):
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op6_token_counts(spark, sf_dir):
