@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import fresh_path, table
+from hazardframe.llm.common import fresh_path, small_batches, table
 from hazardframe.llm.decontaminate import find_leaks
 from hazardframe.llm.fingerprint import fingerprint_documents
-from hazardframe.llm.packing import pack_documents
+from hazardframe.llm.packing import default_vocabulary, pack_documents
 from hazardframe.llm.pii import pii_digest
 from hazardframe.llm.quality import score_quality, train_quality
 from hazardframe.llm.secrets import secret_digest
 from hazardframe.llm.simhash import near_duplicates
 from hazardframe.llm.suffix_dedup import repeat_digest
-from hazardframe.llm.token_counts import TokenLedger, counted
+from hazardframe.llm.token_counts import NATIVE, TokenLedger, counted, encoded_version
 from hazardframe.llm.toxicity import score_toxicity, train_chain
 
 #: Documents of fewer words are withdrawn by the second batch of op6.
@@ -40,6 +40,28 @@ def op5_decontaminate(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
+def op6_token_totals(spark, sf_dir):
+    """Token totals of the whole table by three versions, the ids of ``byte_bpe_50k`` among them.
+
+    The batches come to the true table by way of other states: all documents in,
+    digits masked out, and short ones a second time; the second copies out again;
+    the masked texts revised to the true ones. The first batch is sent twice.
+    """
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    versions = NATIVE | {"byte_bpe_50k": encoded_version(default_vocabulary())}
+    ledger = TokenLedger(spark, fresh_path(spark, "ledger"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    short, masked = docs.where(words < SHORT), F.translate(F.coalesce("text", F.lit("")), "0123456789", "")
+    with_digits = docs.where(F.col("text").rlike("[0-9]"))
+    first = counted(docs, 1, versions, text=masked), counted(short, 1, versions)
+    ledger.commit("load", *first)
+    ledger.commit("withdraw", counted(short, -1, versions))
+    ledger.commit("restore", counted(with_digits, -1, versions, text=masked), counted(with_digits, 1, versions))
+    ledger.commit("load", *first)
+    return ledger.totals()
+
+
 def op6_token_counts(spark, sf_dir):
     """Three batches over the whole table: all documents in; short ones out; digits masked out of the rest.
 
@@ -96,6 +118,7 @@ QUERIES = {
     "op3_fingerprint": op3_fingerprint,
     "op4_secrets": op4_secrets,
     "op5_decontaminate": op5_decontaminate,
+    "op6_token_totals": op6_token_totals,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import text_of
+from hazardframe.llm.common import SLICE, text_of
 
 #: Tokenizer versions that need no Python: name to the number of tokens of a text.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -53,7 +53,8 @@ def encoded_version(path: str):
     from hazardframe.llm.packing import encoder
 
     def count(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(x) for x in encoder(path)(texts.tolist())], dtype="int64")
+        encode, held = encoder(path), texts.tolist()
+        return pd.Series([len(x) for at in range(0, len(held), SLICE) for x in encode(held[at : at + SLICE])], dtype="int64")
 
     return F.pandas_udf(count, "bigint")
 
