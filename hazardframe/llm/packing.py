@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -44,27 +45,33 @@ def default_vocabulary() -> str:
 
 @cache
 def encoder(path: str):
-    """A function from a list of texts to a list of id lists.
+    """A function from a list of texts to a list of id lists, as ``tokenizers`` gives them without added special tokens.
 
-    Where the folder of a ``tokenizers`` file also holds the same vocabulary as
-    ranks, the ranks are used, as they encode faster to the same ids (tested);
-    otherwise the file itself is. Strings of special tokens are ordinary text.
+    A special token's string inside a text has that token's id, as the file says.
+    Where the folder of the file also holds the same vocabulary as ranks, texts
+    that hold no such string are encoded by the ranks, which is faster and gives
+    the same ids (tested); all others go to ``tokenizers`` itself.
     """
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
-        import public_tokenizers
-        import tiktoken
-
-        with open(ranks, "rb") as lines:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda texts: [made.encode_ordinary(x) for x in texts]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+    own = Tokenizer.from_file(path)
+    by_file = lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(ranks):
+        return by_file
+    import public_tokenizers
+    import tiktoken
+
+    added = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or r"(?!)")
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    made = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [by_file([x])[0] if added.search(x) else made.encode_ordinary(x) for x in texts]
+
+    return encode
 
 
 class Packer:
@@ -193,7 +200,9 @@ def pack_documents(
     makes the same rows. ``with_ids`` adds the token ids of the piece.
 
     A null or empty text is the closing id alone. Null ids, ties and repeated
-    rows are packed like any other row; an empty table gives an empty one.
+    rows are packed like any other row; an empty table gives an empty one. A very
+    long text is encoded whole and cut into full windows; a text with a special
+    token's string has that token's id there. Further columns are never read.
     """
     path = vocabulary or default_vocabulary()
     schema = (

@@ -19,6 +19,15 @@ def direct(texts):
     return [e.ids + [1] for e in Tokenizer.from_file(packing.default_vocabulary()).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_ids_are_those_of_the_file():
+    rnd = random.Random(2)
+    end = "<|endoftext|>"
+    texts = [end, f"{end} hi", f"hi {end}", f"a{end}b{end}{end} c", "<|endoftext", f"x\n\n{end}  y", ""]
+    some = ["é", "日本", "\u0301", "\u200b", "\xa0", "\x00", "\x85", "🙂", "'ll", "'LL", "12", "½", "  ", "\t\n", "<|", "|>", "_", "ǅ", "\u2028", "\U000e0001"]
+    texts += ["".join(rnd.choice(some) for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    assert [x + [1] for x in packing.encoder(packing.default_vocabulary())(texts)] == direct(texts)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_packer_covers_each_id_once(seed):
     rnd = random.Random(seed)
@@ -55,7 +64,7 @@ def test_packer_covers_each_id_once(seed):
 def test_rows(spark, docs_of):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(["thé", "x1", "the", "\n\n", "  a", "### b", "don't"]) for _ in range(rnd.randint(0, 3000)))) for i in range(60)]
-    rows += [(None, None), (7, ""), (7, ""), (8, "word " * 60_000)]
+    rows += [(None, None), (7, ""), (7, ""), (8, "word " * 60_000), (70, "<|endoftext|> a <|endoftext|>")]
     out = packing.pack_documents(docs_of(rows), with_ids=True).collect()
     want = sorted(tuple(x) for x in direct([t or "" for _, t in rows]))
     for r in out:
