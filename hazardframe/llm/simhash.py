@@ -48,7 +48,11 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
 
 def simhash(text: str, width: int = WIDTH) -> int:
     """The fingerprint as an unsigned number; zero for a text without words."""
-    hashes = shingles(text, width)
+    return majority(shingles(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of ``hashes`` (unsigned 64-bit, little-endian)."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, hashes.size, 1 << 15):
         ones += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -61,17 +65,16 @@ class BKTree:
     def __init__(self):
         self.root: tuple[int, dict] | None = None
 
-    def near(self, x: int, radius: int = RADIUS) -> list[int]:
-        """All numbers of the tree within ``radius`` of ``x``."""
-        found, todo = [], [self.root] if self.root else []
+    def near(self, x: int, radius: int = RADIUS) -> Iterator[int]:
+        """The numbers of the tree within ``radius`` of ``x``, one after another."""
+        todo = [self.root] if self.root else []
         while todo:
             value, children = todo.pop()
             d = (x ^ value).bit_count()
             if d <= radius:
-                found.append(value)
+                yield value
             if children:
                 todo += [child for key, child in children.items() if d - radius <= key <= d + radius]
-        return found
 
     def add(self, x: int) -> None:
         if self.root is None:

@@ -42,8 +42,8 @@ def groups_of(rows):
     return group
 
 
-@pytest.mark.parametrize("held", [nc.HELD, 500])
-def test_rows(spark, docs_of, held):
+@pytest.mark.parametrize(("held", "shards"), [(nc.HELD, nc.BANDS), (500, nc.BANDS), (500, 1)])
+def test_rows(spark, docs_of, held, shards):
     rows = corpus(1)
     best = {}
     for (d, t), g in zip(rows, groups_of(rows), strict=True):
@@ -51,12 +51,27 @@ def test_rows(spark, docs_of, held):
             best[g] = (d, t)
     assert 30 < len(best) < 100
     docs = docs_of(rows)
-    kept = nc.keep_distinct(docs, held=held)
+    kept = nc.keep_distinct(docs, held=held, shards=shards)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in best.values()), key=str)
     assert nc.keep_distinct(docs_of([])).count() == 0
 
 
+def test_trees_of_components():
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(120):
+        new = list(words) if i % 3 else [f"x{i}y{k}" for k in range(100)]
+        new[i : i + rnd.randint(0, 4)] = [f"e{i}"]
+        texts.append(" ".join(new))
+    sets = {i: nc.shingle_set(t) for i, t in enumerate(texts)}
+    group = dict(zip(range(120), groups_of([(i, t) for i, t in enumerate(texts)]), strict=True))
+    links = nc.verified(list(sets.items()))
+    assert all(near(plain(texts[u]), plain(texts[v])) for u, v in links)
+    assert len(links) == 120 - len(set(group.values()))
+
+
 def test_pipeline_drops_copies_of_many_differing_bits(spark, docs_of):
     import corpus_pipeline
     from hazardframe.llm.simhash import simhash
