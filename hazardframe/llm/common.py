@@ -7,8 +7,10 @@ columns of a table, whatever their names, never reach it.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+#: Folders that the operators of this thread have stored, for :func:`scratch`.
+_made = threading.local()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of the shared storage; it is removed when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
@@ -51,17 +66,33 @@ def stored(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     gathered into far fewer files, as each costs the executors more than its rows.
     """
     path = fresh_path(df.sparkSession, name)
+    _made.__dict__.setdefault("paths", []).append(path)
     (df.repartition(max(8, tasks // 64)) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, what operators stored inside; their results must have been written by then."""
+    paths = _made.__dict__.setdefault("paths", [])
+    before = len(paths)
+    try:
+        yield
+    finally:
+        while len(paths) > before:
+            forget(spark, paths.pop())
+
+
 def gathered(df: DataFrame) -> DataFrame:
-    """``df`` after a shuffle in a quarter of its partitions, worked off one after another in a task.
+    """``df`` after a shuffle in four tasks a core at most, each working off its partitions one after another.
 
     It makes fewer output files without moving rows; a task still holds one
-    partition's sort or join at a time.
+    partition's sort or join at a time. Where there are no more partitions than
+    that, as on a large cluster, nothing changes.
     """
-    return df.coalesce(max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+    spark = df.sparkSession
+    n = max(16, 4 * spark.sparkContext.defaultParallelism)
+    return df.coalesce(n) if n < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def partitions(df: DataFrame) -> int:
@@ -69,11 +100,16 @@ def partitions(df: DataFrame) -> int:
     return df.rdd.getNumPartitions()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in a task a core at least: the scan of a small table may be a single task. A larger one is not moved."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if partitions(df) >= n else df.repartition(n)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _place(spark, path)
+    fs.delete(where, True)
 
 
 def type_of(df: DataFrame, column: str) -> str:

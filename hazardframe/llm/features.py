@@ -9,10 +9,10 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import map_rows, text_of
+from hazardframe.llm.common import map_rows, stored, text_of
 
 #: Features are hashed to this many places; a model keeps only those it selects.
 SPACE = 1 << 24
@@ -29,7 +29,11 @@ DIGITS = re.compile(r"\d+")
 
 
 #: Kinds of features start the hash apart.
-WORD_KIND, SHAPE_KIND, STEM_KIND, STATISTIC_KIND = 1, 2, 3, 4
+WORD_KIND, SHAPE_KIND, STEM_KIND, STATISTIC_KIND, METADATA_KIND = 1, 2, 3, 4, 5
+#: Words beyond this length are looked at anew each time and not remembered.
+LONG = 64
+#: Features (of all sampled rows together) that are sent to the driver; 8 bytes each.
+ENTRIES = 1 << 24
 
 
 def _slot(kind: int, name: str) -> int:
@@ -53,19 +57,26 @@ class Extractor:
             shape = letter
         elif core.isalpha():
             at = word.find(core)
-            shape = f"{word[:at]}{letter}{word[at + len(core) :]}"[:8]
+            shape = f"{word[:at]}{letter}{word[at + len(core) :]}"
         else:
-            shape = DIGITS.sub("9", LETTERS.sub(letter, word[:64]))[:8]
+            shape = DIGITS.sub("9", LETTERS.sub(letter, word))
         if (place := self.shapes.get(shape)) is None:
-            if len(self.shapes) >= REMEMBERED:
-                self.shapes.clear()
-            place = self.shapes[shape] = _slot(SHAPE_KIND, shape)
+            place = _slot(SHAPE_KIND, shape)
+            if len(shape) <= LONG:
+                if len(self.shapes) >= REMEMBERED:
+                    self.shapes.clear()
+                self.shapes[shape] = place
         core = core.lower()
-        found = self.known[word] = (_slot(WORD_KIND, core), place, _slot(STEM_KIND, core[:STEM]) if len(core) > STEM else -1)
+        found = (_slot(WORD_KIND, core), place, _slot(STEM_KIND, core[:STEM]) if len(core) > STEM else -1)
+        if len(word) <= LONG:
+            self.known[word] = found
         return found
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(slots ascending, how often each occurs); statistics count once."""
+    def __call__(self, text: str, length: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(slots ascending, how often each occurs); statistics count once.
+
+        ``length`` is what the table says of the text's length, as far as it is known.
+        """
         words = text.split()
         distinct = Counter(words)
         known, new = self.known.get, self._word
@@ -76,6 +87,8 @@ class Extractor:
             stems, n = stems[1:], n[1:]
         often = n >= max(2, DENSE * len(words))
         single = np.array([_slot(STATISTIC_KIND, f"{name}:{value}") for name, value in statistics(text, words, distinct).items()], dtype=np.int64)
+        if length is not None:
+            single = np.append(single, _slot(METADATA_KIND, f"length:{int(np.log2(1 + max(0, length)))}"))
         slots = np.concatenate([found[:, 0], found[:, 1], stems, (stems[often] * 31 + 7) % SPACE, single])
         counts = np.concatenate([times, times, n, n[often], np.ones(single.size)])
         slots, counts = _summed(slots, counts)
@@ -132,16 +145,26 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def length_of(docs: DataFrame, length_col: str | None):
+    """The length that the table states, as a long; null where it has no such column."""
+    known = length_col in docs.columns
+    return (F.col(length_col).cast("long") if known else F.lit(None).cast("long")).alias("_length")
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, marks: list[str], bound: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, marks: list[str], bound: int, least: int, most: int, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, entries: int = ENTRIES
 ) -> list[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
-    """At most ``bound`` labelled documents as (marks, slots, counts), in order of the id.
-
-    The sample holds the labelled rows that come first by a hash of the id, is
-    the same for the same tables, and leaves out the held-out rows. Labels that
-    are null are left out; of a repeated id the largest label and the smallest
-    text count. What is broadcast and collected is bounded by ``bound``.
+    """At most ``bound`` labelled documents as (marks, slots, counts), in order of a hash of the id.
+
+    The sample holds the labelled rows that come first by that hash, is the same
+    for the same tables, and leaves out the held-out rows. Labels that are null
+    are left out; of a repeated id the largest label and the smallest text count.
+    Only slots of at least ``least`` sampled documents are kept, the ``most``
+    commonest; they are counted by Spark before anything is collected. What is
+    broadcast is bounded by ``bound``, what is collected by ``most`` and by
+    ``entries`` slots of all rows: rows beyond these are left out.
     """
+    spark = docs.sparkSession
     some = (
         labels.where(F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(id_col)
@@ -151,27 +174,50 @@ def labelled_sample(
         .limit(bound)
     )
     names = [f"_mark{i}" for i in range(len(marks))]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     texts = (
-        docs.select(F.col(id_col), text_of(text_col).alias("_text"))
+        docs.select(F.col(id_col), text_of(text_col).alias("_text"), length_of(docs, length_col))
         .join(F.broadcast(some), id_col)
+        .repartition(n, id_col)
         .groupBy(id_col, *names)
-        .agg(F.min("_text").alias("_text"))
+        .agg(F.min(F.struct("_text", "_length")).alias("_one"))
     )
 
-    def kernel(ids, *columns):
-        found = [extractor()(t) for t in columns[-1]]
+    def kernel(keys, ids, *columns):
+        found = [extractor()(t, n) for t, n in zip(columns[-2], columns[-1], strict=True)]
         return {
+            "key": keys,
             "id": [str(i) for i in ids],
-            "marks": [list(m) for m in zip(*columns[:-1], strict=True)],
-            "slots": [s.astype(np.int32).tobytes() for s, _ in found],
-            "counts": [c.tobytes() for _, c in found],
+            "marks": [list(m) for m in zip(*columns[:-2], strict=True)],
+            "slots": [s for s, _ in found],
+            "counts": [c for _, c in found],
+        }
+
+    made = texts.select(F.xxhash64(id_col).alias("key"), id_col, *names, "_one._text", "_one._length")
+    rows = stored(map_rows(made, "key bigint, id string, marks array<int>, slots array<int>, counts array<float>", kernel), "sample")
+    common = rows.select(F.explode("slots").alias("slot")).groupBy("slot").count().where(F.col("count") >= least).orderBy(F.desc("count"), "slot").limit(most)
+    chosen = np.sort(np.array([r.slot for r in common.select("slot").collect()], dtype=np.int64))
+    shared = spark.sparkContext.broadcast(chosen)
+
+    def known(keys, ids, labelled, slots, counts):
+        kept = [places(shared.value, np.array(s, dtype=np.int64))[1] for s in slots]
+        return {
+            "key": keys,
+            "id": ids,
+            "marks": labelled,
+            "n": [int(k.sum()) for k in kept],
+            "slots": [np.array(s, dtype=np.int32)[k].tobytes() for s, k in zip(slots, kept, strict=True)],
+            "counts": [np.array(c, dtype=np.float32)[k].tobytes() for c, k in zip(counts, kept, strict=True)],
         }
 
-    rows = map_rows(texts.select(id_col, *names, "_text"), "id string, marks array<int>, slots binary, counts binary", kernel).collect()
-    rows.sort(key=lambda r: r.id)
+    short = stored(map_rows(rows, "key bigint, id string, marks array<int>, n bigint, slots binary, counts binary", known), "short")
+    upto = F.sum("n").over(Window.orderBy("key", "id"))  # at most ``bound`` rows
+    fits = short.select("key", "id", "n").withColumn("upto", upto).where(F.col("upto") <= entries).select("key", "id")
+    found = short.join(F.broadcast(fits), ["key", "id"]).collect()
+    found.sort(key=lambda r: (r.key, r.id))
     return [
         (tuple(r.marks), np.frombuffer(r.slots, dtype=np.int32).astype(np.int64), np.frombuffer(r.counts, dtype=np.float32))
-        for r in rows
+        for r in found
     ]
 
 

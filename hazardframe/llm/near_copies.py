@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_schema, map_rows, partitions, stored, text_of, type_of
+from hazardframe.llm.common import arrow_schema, map_rows, partitions, spread, stored, text_of, type_of
 from hazardframe.llm.components import components
 from hazardframe.llm.simhash import BKTree, majority, one_of_each, shingles
 
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return {id_col: ids, "number": keys, "text_hash": hashes, "size": [s.size for s in sets], "bands": [bands(s) for s in sets]}
 
     text = text_of(text_col)
-    rows = docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text"))
+    rows = spread(docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text")))
     return map_rows(rows, f"`{id_col}` {type_of(docs, id_col)}, number bigint, text_hash bigint, size bigint, bands array<bigint>", kernel)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from hazardframe.llm.common import SLICE, arrow_schema, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, spread, text_of, type_of
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group; a multiple of every tier.
@@ -243,4 +243,4 @@ def pack_documents(
         if rows := packer.finish():
             yield table(rows, base)
 
-    return docs.select(id_col, text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return spread(docs.select(id_col, text_of(text_col).alias("text"))).mapInArrow(run, schema)

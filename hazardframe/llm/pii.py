@@ -17,7 +17,7 @@ from functools import cache
 import ahocorasick
 from pyspark.sql import DataFrame
 
-from hazardframe.llm.common import map_rows, text_of, type_of
+from hazardframe.llm.common import map_rows, spread, text_of, type_of
 from hazardframe.llm.secrets import ascii_lower, joined
 
 #: Kinds in the order in which they are listed.
@@ -103,7 +103,9 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``docs``: its id and its ``spans`` (kind, start, end).
 
     A null text counts as empty; an empty text has no spans; a null id stays
-    null; repeated rows are each scanned, and an empty table gives an empty one.
+    null; repeated rows are each scanned, very long texts whole, and an empty
+    table gives an empty one. Spans that tie in their start are ordered by kind.
+    Further columns are never read, whatever their names.
     """
 
     def kernel(ids, texts):
@@ -114,7 +116,7 @@ def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         }
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    return map_rows(docs.select(id_col, text_of(text_col).alias("text")), schema, kernel)
+    return map_rows(spread(docs.select(id_col, text_of(text_col).alias("text"))), schema, kernel)
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import map_rows, small_batches, text_of, type_of
-from hazardframe.llm.features import common_slots, extractor, held_out, labelled_sample, places, sigmoid
+from hazardframe.llm.common import map_rows, small_batches, spread, text_of, type_of
+from hazardframe.llm.features import common_slots, extractor, held_out, labelled_sample, length_of, places, sigmoid
 
 #: Labelled documents to learn from, features to keep, documents that a feature needs.
 SAMPLE, MOST, LEAST = 8192, 1 << 15, 4
@@ -74,38 +74,50 @@ class FactorisationMachine:
         return float(sigmoid(raw))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, mark: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
+def train_quality(
+    docs: DataFrame, labels: DataFrame, mark: str = "quality", bound: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars"
+) -> FactorisationMachine:
     """Learn ``mark`` from at most ``bound`` labelled rows that are not held out.
 
-    Without labelled rows every score is one half.
+    Inputs are the words of the whole text, statistics of its structure, and as
+    metadata the length that the table states in ``length_col``, if it has that
+    column. Without labelled rows every score is one half; labels of null, of null
+    ids or of ids without a document are left out.
     """
-    sample = labelled_sample(docs, labels, [mark], bound, id_col, text_col)
+    sample = labelled_sample(docs, labels, [mark], bound, LEAST, MOST, id_col, text_col, length_col)
     model = FactorisationMachine(common_slots(sample, LEAST, MOST))
     return model.fit([(s, c) for _, s, c in sample], [m[0] for m, _, _ in sample])
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: FactorisationMachine, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score``, ``predicted``.
 
     A null text counts as empty and gets the score of an empty text; null ids,
-    ties and repeated rows are each scored; an empty table gives an empty one.
+    ties and repeated rows are each scored, very long texts whole; an empty table
+    gives an empty one. Further columns are never read, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kernel(ids, held, texts):
-        scores = [shared.value.score(*extractor()(t)) for t in texts]
+    def kernel(ids, held, texts, lengths):
+        scores = [shared.value.score(*extractor()(t, n)) for t, n in zip(texts, lengths, strict=True)]
         return {id_col: ids, "held_out": held, "score": scores, "predicted": [int(s >= ACCEPT) for s in scores]}
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, held_out boolean, score double, predicted int"
-    return map_rows(docs.select(id_col, held_out(id_col).alias("_held"), text_of(text_col).alias("_text")), schema, kernel)
+    return map_rows(spread(docs.select(id_col, held_out(id_col).alias("_held"), text_of(text_col).alias("_text"), length_of(docs, length_col))), schema, kernel)
 
 
-def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, unchanged."""
+def keep_good(docs: DataFrame, model: FactorisationMachine, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, unchanged.
+
+    A null text is judged as the empty one, and stays null if kept; null ids, ties
+    and repeated rows are each judged, very long texts whole; an empty table stays
+    empty. Further columns pass through, whatever their names.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def accepted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: shared.value.score(*extractor()(t)) >= ACCEPT).astype(bool)
+    def accepted(texts: pd.Series, lengths: pd.Series) -> pd.Series:
+        rows = zip(texts, lengths, strict=True)
+        return pd.Series([shared.value.score(*extractor()(t, None if pd.isna(n) else int(n))) >= ACCEPT for t, n in rows], dtype=bool)
 
-    return docs.where(F.pandas_udf(accepted, "boolean")(text_of(text_col)))
+    return spread(docs).where(F.pandas_udf(accepted, "boolean")(text_of(text_col), length_of(docs, length_col)))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import map_rows, small_batches, text_of, type_of
+from hazardframe.llm.common import map_rows, small_batches, spread, text_of, type_of
 
 #: Kinds in the order that breaks ties of the start.
 BASE_KINDS = ("assign", "access", "hex")
@@ -137,7 +137,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: its id and its ``spans`` (kind, start, end).
 
     A null text counts as empty; an empty text has no spans; a null id stays
-    null; repeated rows are each scanned, and an empty table gives an empty one.
+    null; repeated rows are each scanned, very long texts whole, and an empty
+    table gives an empty one. Spans that tie in their start are ordered by kind.
+    Further columns are never read, whatever their names.
     """
 
     def kernel(ids, texts):
@@ -148,7 +150,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         }
 
     schema = f"`{id_col}` {type_of(docs, id_col)}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    return map_rows(docs.select(id_col, text_of(text_col).alias("text")), schema, kernel)
+    return map_rows(spread(docs.select(id_col, text_of(text_col).alias("text"))), schema, kernel)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

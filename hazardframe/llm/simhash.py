@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, stored, text_of, type_of, unused
+from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, spread, stored, text_of, type_of, unused
 from hazardframe.llm.components import components
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -188,7 +188,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return {id_col: ids, "number": [_signed(simhash(t)) for t in texts], "text_hash": hashes}
 
     text = text_of(text_col)
-    return map_rows(docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text")), f"`{id_col}` {type_of(docs, id_col)}, number bigint, text_hash bigint", kernel)
+    return map_rows(spread(docs.select(id_col, F.xxhash64(text).alias("_hash"), text.alias("_text"))), f"`{id_col}` {type_of(docs, id_col)}, number bigint, text_hash bigint", kernel)
 
 
 def roots(prints: DataFrame, id_col: str) -> DataFrame:
@@ -205,7 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the least id of any document reachable. A null or empty text has fingerprint
     zero and is linked like any other. Null ids never name a component, unless
     it has no other; repeated rows are one another's copies; an empty table gives
-    an empty one. Documents with equal fingerprints count once in the search.
+    an empty one; a very long text counts with all its shingles. Documents with
+    equal fingerprints count once in the search. Further columns are never read.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
     first = prints.groupBy("number").agg(F.min(id_col).alias("_first"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import SLICE, arrow_schema, gathered, map_rows, stored, text_of, type_of
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, map_rows, spread, stored, text_of, type_of
 from hazardframe.llm.suffix_array import SpanHash, repeated_positions
 
 DEPTH = 200
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
-    keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text"))
+    keyed = spread(docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text")))
     places = stored(gathered(_cut(keyed, id_col, depth).join(_labels(keyed, depth), "label")), "stretches")
     contents = places.groupBy("label", "content").agg(F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("several").alias("several"))
     copied = contents.where("copies > 1").select("label", "content")

@@ -61,12 +61,12 @@ def test_pairs_in_linear_time_equal_the_double_sum():
 
 def test_training_never_sees_held_out_rows(spark, corpus):
     docs, labels = corpus
-    sample = features.labelled_sample(docs, labels, ["quality"], 100)
+    sample = features.labelled_sample(docs, labels, ["quality"], 100, 4, 1 << 15)
     assert 98 <= len(sample) <= 100  # a label may have no document
-    again = features.labelled_sample(docs.repartition(5), labels.repartition(3), ["quality"], 100)
+    again = features.labelled_sample(docs.repartition(5), labels.repartition(3), ["quality"], 100, 4, 1 << 15)
     assert all((a[1] == b[1]).all() for a, b in zip(sample, again, strict=True))
     held = labels.where(features.held_out("doc_id"))
-    assert features.labelled_sample(docs, held, ["quality"], 100) == []
+    assert features.labelled_sample(docs, held, ["quality"], 100, 4, 1 << 15) == []
 
 
 def test_chain(spark, corpus):
