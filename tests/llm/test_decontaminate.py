@@ -97,12 +97,19 @@ def test_rows(spark, docs_of, bound):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(clean, key=str)
 
 
-def test_long_item_is_cut(spark, docs_of):
+def test_parts_of_a_long_item_are_judged_together(spark, docs_of):
     rnd = random.Random(0)
-    item = " ".join(f"w{rnd.randrange(4000)}" for _ in range(3000))
-    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
-    found = dc.find_leaks(docs_of([(1, "x " + item), (2, "y z")]), benchmark).collect()
-    assert sorted((r.doc_id, r.item_start, r.matches, r.word_start) for r in found) == [(1, 0, 1000, 1), (1, 1000, 1000, 1001), (1, 2000, 1000, 2001)]
+    words = [f"w{rnd.randrange(4000)}" for _ in range(3000)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    edited = [w if i % 6 else "edit" for i, w in enumerate(words)]
+    third, most = words[:1000], words[:2500]
+    docs = docs_of([(1, " ".join(["x", *words])), (2, "y z"), (3, " ".join(edited)), (4, " ".join(third)), (5, " ".join([*most, *["own"] * 500]))])
+    for whole in (False, True):
+        found = dc.find_leaks(docs, benchmark, whole=whole).collect()
+        assert sorted(r.doc_id for r in found) == [1, 3, 5]
+        one = next(r for r in found if r.doc_id == 1)
+        assert (one.matches, one.similarity, one.word_start, one.word_end) == (3000, 1.0, 1, 3001)
+        assert next(r for r in found if r.doc_id == 3).matches >= 2490
 
 
 def test_empty(spark, docs_of):

@@ -31,6 +31,56 @@ def test_whole_alignment(seed):
     assert 0 <= a <= z <= len(doc) and (similar >= dc.SIMILAR) == (best_score(item, doc) >= 4 * len(item))
 
 
+def test_many_alignments_at_once():
+    rnd = np.random.default_rng(4)
+    items, part = rnd.integers(0, 6, (50, 9)), rnd.integers(0, 6, 17)
+    assert list(zip(*dc.align_many(items, part), strict=True)) == [dc.align_whole(x, part) for x in items]
+
+
+@pytest.mark.parametrize("n", [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 25])
+def test_copies_of_items_of_any_length(n):
+    """Every item that keeps 0.8 of its words among others is found, however often its 3-grams occur."""
+    rnd = random.Random(n)
+    say = lambda k: [f"w{rnd.randrange(3000)}" for _ in range(k)]
+    items = [say(n) for _ in range(60)]
+    held = dc.Items(list(range(60)), [" ".join(x) for x in items])
+    search = dc.Search(held, held.seeds(np.array([rnd.randrange(5) for _ in range(held.keys.size)])), True)
+    for i, item in enumerate(items):
+        kind = rnd.randrange(2)
+        if kind:
+            text = replaced(item, rnd.sample(range(n), n // 5))
+        else:
+            text = list(item)
+            for at in sorted(rnd.sample(range(1, n), min(n - 1, n // 4)), reverse=True):
+                text.insert(at, "inserted")
+        assert i in {x[0] for x in search(held.numbers(" ".join(say(20) + text + say(20))))}, (item, text)
+
+
+def test_items_of_one_template():
+    import time
+
+    rnd = random.Random(1)
+    body = [f"t{i}" for i in range(18)]
+    texts = [" ".join([*body[:9], f"a{i}", *body[9:], f"b{i}"]) for i in range(20_000)]
+    held = dc.Items(list(range(20_000)), texts)
+    search = dc.Search(held, held.seeds(np.full(held.keys.size, 7)), True)
+    say = lambda k: [f"x{rnd.randrange(3000)}" for _ in range(k)]
+    half = say(60) + body[:9] + say(100) + body[9:] + say(40)
+    began = time.time()
+    assert search(held.numbers(" ".join(half))) == []
+    print("none held:", time.time() - began)
+    began = time.time()
+    full = say(60) + texts[77].split() + say(40)
+    found = {x[0]: x[1] for x in search(held.numbers(" ".join(full)))}
+    assert len(found) == 20_000 and found[77] == 1 and found[78] == 18 / 20
+    print("all held:", time.time() - began)
+    began = time.time()
+    parted = say(60) + [*body[:5], "new", *body[5:9], "a77", *body[9:], "b77"] + say(40)
+    found = {x[0]: x[1] for x in search(held.numbers(" ".join(parted)))}
+    assert found[77] == 20 / 21 and len(found) == 20_000
+    print("all aligned:", time.time() - began)
+
+
 def replaced(words, places):
     return [f"edit{at}" if at in places else w for at, w in enumerate(words)]
 
