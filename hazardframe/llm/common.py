@@ -106,6 +106,34 @@ def spread(df: DataFrame) -> DataFrame:
     return df if partitions(df) >= n else df.repartition(n)
 
 
+#: Keys of so many rows are frequent, and no more than so many keys are.
+FREQUENT, MOST_FREQUENT = 10_000, 50_000
+
+
+def joined_evenly(rows: DataFrame, table: DataFrame, keys: list[str], count: str, values: list[str], scatter: list[str]) -> DataFrame:
+    """``rows`` that ``table`` has the keys of, with its ``values``; no task gathers the rows of a frequent key.
+
+    ``table`` has one row for each of the ``keys`` (bigint) and in ``count`` how many
+    rows have them; it is read twice. Keys of more than ``FREQUENT`` rows and more
+    than one in ``MOST_FREQUENT`` of all rows, which are fewer than ``MOST_FREQUENT``
+    keys, are broadcast; their rows are scattered by the columns ``scatter`` in the
+    shuffled join of the others. Null keys match nothing.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    least = max(FREQUENT, total // MOST_FREQUENT)
+    mark, left, right, moved = (unused(rows, x) for x in ("_frequent", "_matched", "_key", "_moved"))
+    often = table.where(F.col(count) > least).select(*keys, *(F.col(v).alias(f"_often_{v}") for v in values), F.lit(True).alias(mark))
+    others = table.where(F.col(count) <= least).select(*(F.col(k).alias(f"{right}{i}") for i, k in enumerate(keys)), *(F.col(v).alias(f"_other_{v}") for v in values), F.lit(True).alias(left))
+    marked = rows.join(F.broadcast(often), keys, "left") if total > least else rows.withColumns({f"_often_{v}": F.lit(None) for v in values} | {mark: F.lit(None).cast("boolean")})
+    marked = marked.withColumn(moved, F.when(F.col(mark), F.xxhash64(*scatter)).otherwise(F.col(keys[0])))
+    same = F.col(moved) == F.col(f"{right}0")
+    for i, k in enumerate(keys[1:], 1):
+        same = same & (F.col(k) == F.col(f"{right}{i}"))
+    both = marked.join(others, same, "left").where(F.col(mark) | F.col(left))
+    found = [F.when(F.col(mark), F.col(f"_often_{v}")).otherwise(F.col(f"_other_{v}")).alias(v) for v in values]
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *found)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared storage."""
     fs, where = _place(spark, path)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_schema, gathered, map_rows, partitions, spread, stored, text_of, type_of, unused
+from hazardframe.llm.common import arrow_schema, gathered, joined_evenly, map_rows, partitions, spread, stored, text_of, type_of, unused
 from hazardframe.llm.components import components
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -209,11 +209,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal fingerprints count once in the search. Further columns are never read.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
-    first = prints.groupBy("number").agg(F.min(id_col).alias("_first"))
-    known = first.join(roots(prints, id_col), "number")
-    least = known.groupBy("root").agg(F.min("_first").alias("component_id"))
-    named = known.join(least, "root").select("number", "component_id")
-    return gathered(prints.join(named, "number").select(id_col, F.lpad(F.lower(F.hex("number")), 16, "0").alias("fingerprint"), "component_id"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = prints.groupBy("number").agg(F.min(id_col).alias("_first"), F.count("*").alias("rows"))
+    known = stored(first.join(roots(prints, id_col), "number"), "known", n)
+    least = known.groupBy("root").agg(F.min("_first").alias("component_id"), F.count("*").alias("numbers"))
+    named = stored(joined_evenly(known.select("number", "root", "rows"), least, ["root"], "numbers", ["component_id"], ["number"]).drop("root"), "named", n)
+    rows = joined_evenly(prints.select(id_col, "number", "text_hash"), named, ["number"], "rows", ["component_id"], [id_col, "text_hash"])
+    return gathered(rows.select(id_col, F.lpad(F.lower(F.hex("number")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,8 +5,9 @@ are ordered first, L-type suffixes are induced from them in ascending order, and
 S-type suffixes from those in descending order. Both passes draw suffixes from a
 priority queue keyed by first symbol and order of insertion. As the passes only
 insert at or past the symbol they are at, each symbol's part of the queue is a
-list that is written once and read once; parts beyond a memory bound lie in
-unlinked temporary files. A queue entry is a tuple (position, length of the prefix
+list that is written once and read once; parts beyond a memory bound, which a shard
+of usual size exceeds several times, lie in an unlinked file of Spark's scratch
+folder. A queue entry is a tuple (position, length of the prefix
 in common with the entry before it); the common prefix of an induced suffix is one
 more than the least common prefix passed since the last insertion under its symbol.
 
@@ -19,14 +20,15 @@ suffixes that agree that far may come in any order.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Entries that a pass handles at once, and bytes that queues and arrays keep in memory.
+#: Entries that a pass handles at once, and bytes of queues that are kept in memory.
 BATCH = 1 << 16
-MEMORY = 192 << 20
+MEMORY = 1 << 20
 
 BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -75,41 +77,44 @@ class SpanHash:
 
 
 class Store:
-    """Accounts for the memory of all parts of a queue."""
+    """The memory that all parts of a queue share, and the file for what goes beyond it."""
 
     def __init__(self, memory: int = MEMORY):
-        self.left = memory
+        self.left, self.file, self.size = memory, None, 0
+
+    def write(self, column: np.ndarray) -> tuple:
+        if self.file is None:
+            scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+            self.file = tempfile.TemporaryFile(dir=scratch if os.path.isdir(scratch) else None)
+        at, self.size = self.size, self.size + column.nbytes
+        self.file.seek(at)
+        self.file.write(column.tobytes())
+        return at, column.dtype, column.size
+
+    def read(self, at: int, dtype: np.dtype, n: int) -> np.ndarray:
+        self.file.seek(at)
+        return np.frombuffer(self.file.read(n * dtype.itemsize), dtype=dtype)
 
 
 class Part:
     """The entries under one symbol: chunks that are read in order, or from the end."""
 
     def __init__(self, store: Store):
-        self.store, self.chunks, self.file = store, [], None
+        self.store, self.chunks = store, []
 
     def put(self, *columns: np.ndarray) -> None:
         size = sum(c.nbytes for c in columns)
         if size <= self.store.left:
             self.store.left -= size
             self.chunks.append((size, columns))
-            return
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        where = []
-        for c in columns:
-            where.append((self.file.seek(0, 2), c.dtype, c.size))
-            self.file.write(c.tobytes())
-        self.chunks.append((0, where))
+        else:
+            self.chunks.append((0, [self.store.write(c) for c in columns]))
 
     def _get(self, chunk: tuple) -> tuple[np.ndarray, ...]:
         size, columns = chunk
         if size or (columns and isinstance(columns[0], np.ndarray)):
             return columns
-        out = []
-        for at, dtype, n in columns:
-            self.file.seek(at)
-            out.append(np.frombuffer(self.file.read(n * dtype.itemsize), dtype=dtype))
-        return tuple(out)
+        return tuple(self.store.read(*where) for where in columns)
 
     def _joined(self, chunks: list[tuple]) -> tuple[np.ndarray, ...]:
         """Small chunks as one, so that a pass works on long arrays."""
@@ -321,9 +326,42 @@ def repeated_positions(texts: list[bytes], depth: int, memory: int = MEMORY) ->
     """For each text, which of its ``len - depth + 1`` spans of ``depth`` bytes start anywhere else, too.
 
     Anywhere is any other place of any of the texts; a span never crosses texts.
+    A run of one byte of more than ``2 depth`` is sorted as one of that length, which
+    has the same spans inside and across its ends, all those inside more than once.
     """
     if depth > 254:
         raise ValueError("common prefixes are kept in a byte")
+    kept = [short_runs(np.frombuffer(t, dtype=np.uint8), 2 * depth) for t in texts]
+    found = _repeated([t if k is None else np.frombuffer(t, dtype=np.uint8)[k].tobytes() for t, k in zip(texts, kept, strict=True)], depth, memory)
+    return [m if k is None else _stretched(m, k, len(t) - depth + 1) for t, k, m in zip(texts, kept, found, strict=True)]
+
+
+def short_runs(raw: np.ndarray, most: int) -> np.ndarray | None:
+    """Positions that are left where of runs of one byte only the last ``most`` stay; None if all are."""
+    if raw.size <= most:
+        return None
+    begin = np.flatnonzero(np.append(True, raw[1:] != raw[:-1]))
+    size = np.diff(begin, append=raw.size)
+    if size.max() <= most:
+        return None
+    long = np.flatnonzero(size > most)
+    edges = np.zeros(raw.size + 1, dtype=np.int8)
+    edges[begin[long]] = 1
+    edges[begin[long] + size[long] - most] = -1
+    return np.flatnonzero(np.cumsum(edges[:-1], dtype=np.int8) == 0)
+
+
+def _stretched(marked: np.ndarray, kept: np.ndarray, n: int) -> np.ndarray:
+    """Marks of the ``n`` spans of the whole text from those of the spans at its ``kept`` positions.
+
+    Those that begin at other positions lie inside a run, as all of the first ones kept of it do.
+    """
+    out = np.ones(n, dtype=bool)
+    out[kept[: marked.size]] = marked
+    return out
+
+
+def _repeated(texts: list[bytes], depth: int, memory: int) -> list[np.ndarray]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     symbols = np.zeros(int((sizes + 1).sum()) + 1, dtype=np.uint16)

@@ -7,7 +7,8 @@ and labels deal the corpus into shards that need nothing from one another.
 
 A label that one stretch alone has is dropped, unless its gram occurs there twice.
 Labels and contents are counted by aggregates that are summed before they are
-shuffled, and joined back in joins that Spark can split where a key is hot.
+shuffled, and joined back in joins that broadcast the frequent keys, whose number
+their counts bound, and scatter the rows that have them.
 Stretches with the same label and the same bytes repeat all their windows; one of
 them goes on for the others. Where a label has stretches with different bytes,
 their bytes are fetched and the suffix array of a shard of labels is built by
@@ -28,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import SLICE, arrow_schema, gathered, map_rows, spread, stored, text_of, type_of
-from hazardframe.llm.suffix_array import SpanHash, repeated_positions
+from hazardframe.llm.common import SLICE, arrow_schema, gathered, joined_evenly, map_rows, spread, stored, text_of, type_of
+from hazardframe.llm.suffix_array import SpanHash, repeated_positions, short_runs
 
 DEPTH = 200
 #: Bytes of a shard (the last label of one may exceed it), of a task's shards, and
@@ -75,7 +76,7 @@ def contents_of(raw: bytes, first: np.ndarray, windows: np.ndarray, depth: int)
 
 
 def _labels(docs: DataFrame, depth: int) -> DataFrame:
-    """(label, several): labels of several stretches, or of one in which its gram occurs twice."""
+    """(label, n, several): labels of several stretches, or of one in which its gram occurs twice."""
 
     def kernel(texts):
         out: dict[str, list] = {"label": [], "content": [], "twice": []}
@@ -89,7 +90,7 @@ def _labels(docs: DataFrame, depth: int) -> DataFrame:
 
     rows = map_rows(docs.select("_text"), "label bigint, content bigint, twice boolean", kernel)
     counted = rows.groupBy("label").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("several"), F.max("twice").alias("twice"))
-    return counted.where("n > 1 or twice").select("label", "several")
+    return counted.where("n > 1 or twice").select("label", "n", "several")
 
 
 def _cut(docs: DataFrame, id_col: str, depth: int) -> DataFrame:
@@ -167,27 +168,43 @@ def _fetched(keyed: DataFrame, wanted: DataFrame, id_col: str, depth: int) -> Da
     return map_rows(with_text.select(id_col, "text_hash", "_text", "_wanted"), schema, fetch)
 
 
+def window_ranges(raw: bytes, depth: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of every window, equal ones at the head of a long run of one byte as one range."""
+    kept = short_runs(np.frombuffer(raw, dtype=np.uint8), 2 * depth)
+    if kept is None:
+        yield from ((k, k + depth) for k in range(len(raw) - depth + 1))
+        return
+    before = -1
+    for k in kept.tolist():
+        if k > before + 1:
+            yield before + 1, k - 1 + depth
+        if k <= len(raw) - depth:
+            yield k, k + depth
+        before = k
+
+
 def _counted(pieces: DataFrame, id_col: str, depth: int) -> DataFrame:
     """What :func:`_judged` gives, one span a window, by counting the windows' hashes."""
 
     def opened(labels, ids, hashes, firsts, lones, raws):
-        out: dict[str, list] = {"h1": [], "h2": [], id_col: [], "text_hash": [], "start": [], "lone": []}
+        out: dict[str, list] = {"h1": [], "h2": [], id_col: [], "text_hash": [], "start": [], "stop": [], "lone": []}
         for doc, digest, first, lone, raw in zip(ids, hashes, firsts, lones, raws, strict=True):
-            for k in range(len(raw) - depth + 1):
-                h = xxhash.xxh3_128_intdigest(raw[k : k + depth])
+            for a, z in window_ranges(raw, depth):
+                h = xxhash.xxh3_128_intdigest(raw[a : a + depth])
                 out["h1"].append((h >> 64) - (1 << 63))
                 out["h2"].append((h & (1 << 64) - 1) - (1 << 63))
                 out[id_col].append(doc)
                 out["text_hash"].append(digest)
-                out["start"].append(first + k)
+                out["start"].append(first + a)
+                out["stop"].append(first + z)
                 out["lone"].append(lone)
         return out
 
-    schema = f"h1 bigint, h2 bigint, `{id_col}` {type_of(pieces, id_col)}, text_hash bigint, start int, lone boolean"
+    schema = f"h1 bigint, h2 bigint, `{id_col}` {type_of(pieces, id_col)}, text_hash bigint, start int, stop int, lone boolean"
     windows = map_rows(pieces, schema, opened)
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = windows.where("lone").join(twice, ["h1", "h2"], "left_semi")
-    return found.select(id_col, "text_hash", "start", (F.col("start") + depth).alias("stop"))
+    twice = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "windows", int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = joined_evenly(windows.where("lone"), twice, ["h1", "h2"], "n", [], ["text_hash", "start"])
+    return found.select(id_col, "text_hash", "start", "stop")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, shard: int = SHARD, hot: int = HOT) -> DataFrame:
@@ -199,10 +216,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = spread(docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text")))
-    places = stored(gathered(_cut(keyed, id_col, depth).join(_labels(keyed, depth), "label")), "stretches")
+    labels = stored(_labels(keyed, depth), "labels", n)
+    places = stored(gathered(joined_evenly(_cut(keyed, id_col, depth), labels, ["label"], "n", ["several"], ["text_hash", "first"])), "stretches")
     contents = places.groupBy("label", "content").agg(F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("several").alias("several"))
-    copied = contents.where("copies > 1").select("label", "content")
-    whole = places.join(copied, ["label", "content"], "left_semi")
+    copied = stored(contents.where("copies > 1").select("label", "content", "copies"), "copied", n)
+    whole = joined_evenly(places, copied, ["label", "content"], "copies", [], ["text_hash", "first"])
     spans = whole.select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
     # a label of one stretch is there because its gram occurs twice; else several contents
     # are sorted, one of each; only the windows of those that occur once are still to be judged
@@ -239,8 +257,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns id, ``n_bytes``, ``removed`` (maximal removed byte ranges) and
     ``kept`` (the other bytes concatenated; cuts may fall inside a character). A
     null text counts as empty; texts shorter than ``depth`` bytes keep all;
-    repeated rows repeat one another; null ids are told apart by their texts; an
-    empty table gives an empty one.
+    repeated rows repeat one another, and of strings that tie none is spared; a
+    very long text is searched whole, a run of one byte in it at the cost of two
+    windows; null ids are told apart by their texts; an empty table gives an empty
+    one. Further columns are never read, whatever their names.
     """
     text = text_of(text_col)
     keyed = docs.select(F.col(id_col), F.xxhash64(text).alias("_hash"), text.alias("_text"))

@@ -55,6 +55,35 @@ def test_order_and_common_prefixes(seed):
     assert seeds.tolist() == [i for i in sorted(range(301), key=lambda i: raw[i:]) if i in set(sorter.lms.tolist())]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_of_one_byte(seed):
+    rnd = random.Random(seed)
+    for depth in (1, 3, 7):
+        texts = [b"".join(rnd.choice([b"a", b"b", b" "]) * rnd.choice([1, 2, depth, 2 * depth, 2 * depth + 1, 60]) for _ in range(rnd.randint(0, 6))) for _ in range(5)]
+        assert [g.tolist() for g in sa.repeated_positions(texts, depth)] == plain(texts, depth), (texts, depth)
+
+
+def test_a_long_run_costs_little():
+    import time
+
+    began = time.time()
+    got = sa.repeated_positions([b"x" + b"a" * 5_000_000 + b"y"], 200)[0]
+    assert time.time() - began < 10
+    assert not got[0] and got[1:4_999_802].all() and not got[4_999_802:].any()
+
+
+def test_a_usual_shard_exceeds_the_memory_of_its_queues(monkeypatch):
+    written = []
+    write = sa.Store.write
+    monkeypatch.setattr(sa.Store, "write", lambda self, column: written.append(column.nbytes) or write(self, column))
+    words = np.random.default_rng(1).integers(97, 123, (20_000, 6)).astype(np.uint8)
+    words[:, 5] = 32
+    noise = words[np.random.default_rng(2).integers(0, 20_000, 175_000)].tobytes()
+    assert len(noise) > sa.MEMORY
+    sa.repeated_positions([noise], 200)
+    assert sum(written) > sa.MEMORY
+
+
 def test_periodic_and_large():
     assert sa.repeated_positions([b"a" * 1000], 200)[0].all()
     rnd = np.random.default_rng(0)
