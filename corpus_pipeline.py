@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardframe.llm.common import stored, table
+from hazardframe.llm.common import forget, fresh_path, scratch, table
 from hazardframe.llm.decontaminate import without_leaks
 from hazardframe.llm.near_copies import keep_distinct
 from hazardframe.llm.packing import pack_documents
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8."""
+    """One document of each group of near copies: SimHash and BK-trees over five-word shingles, similarity 0.8."""
     return keep_distinct(docs)
 
 
@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secrets),
     ("packing", packing),
@@ -55,8 +55,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, over all of ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, over all of ``documents``.
+
+    A stage's input, and what its operator stored on the way, is removed when its
+    result is written; the last stage's input when the application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
