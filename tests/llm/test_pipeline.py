@@ -3,9 +3,13 @@
 import random
 
 import pytest
+from test_decontaminate_whole import best_score
+from test_near_copies import groups_of
+from test_packing import direct
+from test_scans import plain_secrets
 
 import corpus_pipeline
-from hazardframe.llm import decontaminate, packing, quality, secrets, simhash
+from hazardframe.llm import common, quality
 from hazardframe.llm.features import Extractor
 
 pytest.importorskip("public_tokenizers")
@@ -41,40 +45,48 @@ def test_pipeline(spark, folder):
     sf_dir, docs, items = folder
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     model = quality.train_quality(table("documents"), table("labels"))
-    rows = [(d, t) for d, t in docs if model.score(*Extractor()(t or "")) >= quality.ACCEPT]
+    length = lambda t: None if t is None else len(t)
+    rows = [(d, t) for d, t in docs if model.score(*Extractor()(t or "", length(t))) >= quality.ACCEPT]
     assert 0 < len(rows) < len(docs)
-    prints = [simhash.simhash(t or "") for _, t in rows]
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 4:
-                x, y = group[a], group[b]
-                group = [min(x, y) if g in (x, y) else g for g in group]
     best = {}
-    for (d, t), g in zip(rows, group, strict=True):
+    for (d, t), g in zip(rows, groups_of(rows), strict=True):
         if g not in best or ((d is None), d or 0) < ((best[g][0] is None), best[g][0] or 0):
             best[g] = (d, t)
-    bad = [decontaminate.words_of(x) for _, x in items]
+    assert len(best) < len(rows)
 
     def holds(text):
-        import numpy as np
+        words = (text or "").split()[:400]
+        return any(best_score(x.split(), words) >= 4 * len(x.split()) for _, x in items)
 
-        words = decontaminate.words_of(text or "")[:2000]
-        known = {}
-        number = lambda ws: np.array([known.setdefault(w, len(known)) for w in ws], dtype=np.int64)
-        return any(decontaminate.align(number(b), number(words))[0] >= 0.8 for b in bad)
+    def clean(text):
+        spans = sorted((a, z) for _, a, z in plain_secrets(text))
+        for a, z in spans[::-1]:
+            text = text[:a] + "[SECRET]" + text[z:]
+        return text
 
     left = [(d, t) for d, t in best.values() if not holds(t)]
-    final = {d: secrets.redact(t or "", secrets.find_secrets(t or "")) for d, t in left}
+    assert len(left) < len(best)
+    final = {d: clean(t or "") for d, t in left}
     assert any("[SECRET]" in t for t in final.values())
-    encode = packing.encoder(packing.default_vocabulary())
-    want = {d: encode([t])[0] + [1] for d, t in final.items()}
+    ids = direct(list(final.values()))
+    want = dict(zip(final, ids, strict=True))
     got = {}
     for r in sorted(corpus_pipeline.run(spark, sf_dir).collect(), key=lambda r: r.start):
         got.setdefault(r.doc_id, []).extend(r.ids)
     assert got == want
 
 
+def test_intermediate_tables_are_removed(spark, folder):
+    fs, shared = common._place(spark, common.shared_dir(spark))
+    names = lambda: {s.getPath().getName() for s in fs.listStatus(shared)}
+    corpus_pipeline.run(spark, folder[0])
+    before = names()
+    out = corpus_pipeline.run(spark, folder[0])
+    left = names() - before
+    assert [x.rpartition("-")[0] for x in left] == ["secret-scans"]  # the input of the last stage, which is not run yet
+    assert out.count() > 0
+
+
 def test_stages_keep_the_columns(spark, folder):
     sf_dir, _, _ = folder
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
