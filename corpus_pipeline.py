@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. Its result is written as Parquet and read
-again as the next stage's documents.
+again as the next stage's documents. Null texts count as empty; null ids, repeated
+rows, very long texts, empty tables and further columns are handled as the
+operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -18,27 +20,30 @@ from hazardframe.llm.secrets import redact_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; a null text is judged as the empty one."""
     return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash and BK-trees over five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: SimHash and BK-trees over five-word shingles, similarity 0.8.
+
+    The one of the least id stays; null and empty texts are one group.
+    """
     return keep_distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
+    """Documents that hold no test item; null and empty texts hold none."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
+    """All documents, with every secret replaced by a mark; null texts stay null."""
     return redact_secrets(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their token ids, placed in sequences."""
+    """Pieces of the documents with their token ids, placed in sequences; a null text is the closing id alone."""
     return pack_documents(docs, with_ids=True)
 
 
