@@ -11,6 +11,7 @@ import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -121,17 +122,21 @@ def joined_evenly(rows: DataFrame, table: DataFrame, keys: list[str], count: str
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     least = max(FREQUENT, total // MOST_FREQUENT)
-    mark, left, right, moved = (unused(rows, x) for x in ("_frequent", "_matched", "_key", "_moved"))
-    often = table.where(F.col(count) > least).select(*keys, *(F.col(v).alias(f"_often_{v}") for v in values), F.lit(True).alias(mark))
-    others = table.where(F.col(count) <= least).select(*(F.col(k).alias(f"{right}{i}") for i, k in enumerate(keys)), *(F.col(v).alias(f"_other_{v}") for v in values), F.lit(True).alias(left))
-    marked = rows.join(F.broadcast(often), keys, "left") if total > least else rows.withColumns({f"_often_{v}": F.lit(None) for v in values} | {mark: F.lit(None).cast("boolean")})
-    marked = marked.withColumn(moved, F.when(F.col(mark), F.xxhash64(*scatter)).otherwise(F.col(keys[0])))
-    same = F.col(moved) == F.col(f"{right}0")
-    for i, k in enumerate(keys[1:], 1):
-        same = same & (F.col(k) == F.col(f"{right}{i}"))
-    both = marked.join(others, same, "left").where(F.col(mark) | F.col(left))
-    found = [F.when(F.col(mark), F.col(f"_often_{v}")).otherwise(F.col(f"_other_{v}")).alias(v) for v in values]
-    return both.select(*(F.col(f"`{c}`") for c in rows.columns), *found)
+    own, other, moved = (unused(rows, x) for x in ("_own", "_other", "_moved"))
+    first, *more = keys
+    table = table.select(*(F.col(k).alias(f"{other}{i}") for i, k in enumerate(keys)), count, F.struct(F.lit(True).alias("there"), *values).alias(other))
+    often = table.where(F.col(count) > least)
+    same = lambda key: reduce(lambda x, y: x & y, [key == F.col(f"{other}0"), *(F.col(k) == F.col(f"{other}{i}") for i, k in enumerate(more, 1))])
+    if total > least:
+        marked = rows.join(F.broadcast(often.withColumnRenamed(other, own).drop(count)), same(F.col(first)), "left").drop(*(f"{other}{i}" for i in range(len(keys))))
+    else:
+        marked = rows.withColumn(own, F.lit(None).cast(table.schema[other].dataType))
+    # a row is shuffled with its key, or if that is frequent with a scattered one, and then with the key besides
+    frequent = F.col(own).isNotNull()
+    marked = marked.withColumn(moved, F.when(frequent, F.xxhash64(*scatter)).otherwise(F.col(first))).withColumn(first, F.when(frequent, F.col(first)))
+    both = marked.join(table.where(F.col(count) <= least).drop(count), same(F.col(moved)), "left").where(frequent | F.col(other).isNotNull())
+    key = F.when(frequent, F.col(first)).otherwise(F.col(moved)).alias(first)
+    return both.select(*(key if c == first else F.col(f"`{c}`") for c in rows.columns), *(F.when(frequent, F.col(f"{own}.{v}")).otherwise(F.col(f"{other}.{v}")).alias(v) for v in values))
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -209,11 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal fingerprints count once in the search. Further columns are never read.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "prints", partitions(docs))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = prints.groupBy("number").agg(F.min(id_col).alias("_first"), F.count("*").alias("rows"))
-    known = stored(first.join(roots(prints, id_col), "number"), "known", n)
+    known = stored(gathered(first.join(roots(prints, id_col), "number")), "known")
     least = known.groupBy("root").agg(F.min("_first").alias("component_id"), F.count("*").alias("numbers"))
-    named = stored(joined_evenly(known.select("number", "root", "rows"), least, ["root"], "numbers", ["component_id"], ["number"]).drop("root"), "named", n)
+    named = stored(gathered(joined_evenly(known.select("number", "root", "rows"), least, ["root"], "numbers", ["component_id"], ["number"]).drop("root")), "named")
     rows = joined_evenly(prints.select(id_col, "number", "text_hash"), named, ["number"], "rows", ["component_id"], [id_col, "text_hash"])
     return gathered(rows.select(id_col, F.lpad(F.lower(F.hex("number")), 16, "0").alias("fingerprint"), "component_id"))
 

@@ -36,6 +36,8 @@ DEPTH = 200
 #: Bytes of a shard (the last label of one may exceed it), of a task's shards, and
 #: of a label's different stretches beyond which its windows are counted instead.
 SHARD, TASK, HOT = 1 << 20, 16 << 20, 2 << 20
+#: Tasks that share the rows of a frequent window.
+SALTS = 16
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -202,8 +204,10 @@ def _counted(pieces: DataFrame, id_col: str, depth: int) -> DataFrame:
 
     schema = f"h1 bigint, h2 bigint, `{id_col}` {type_of(pieces, id_col)}, text_hash bigint, start int, stop int, lone boolean"
     windows = map_rows(pieces, schema, opened)
-    twice = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "windows", int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = joined_evenly(windows.where("lone"), twice, ["h1", "h2"], "n", [], ["text_hash", "start"])
+    # the rows of a frequent window are scattered over SALTS tasks, each of which gets all repeated windows of its share
+    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("text_hash", "start"), F.lit(SALTS)).cast("int")
+    found = windows.where("lone").withColumn("salt", salt).join(twice, ["h1", "h2", "salt"], "left_semi")
     return found.select(id_col, "text_hash", "start", "stop")
 
 
@@ -216,18 +220,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of(text_col)
     keyed = spread(docs.select(F.col(id_col), F.xxhash64(text).alias("text_hash"), text.alias("_text")))
-    labels = stored(_labels(keyed, depth), "labels", n)
+    labels = stored(gathered(_labels(keyed, depth)), "labels")
     places = stored(gathered(joined_evenly(_cut(keyed, id_col, depth), labels, ["label"], "n", ["several"], ["text_hash", "first"])), "stretches")
     contents = places.groupBy("label", "content").agg(F.count("*").alias("copies"), F.min(F.struct(id_col, "text_hash", "first", "windows")).alias("one"), F.max("several").alias("several"))
-    copied = stored(contents.where("copies > 1").select("label", "content", "copies"), "copied", n)
+    copied = stored(gathered(contents.where("copies > 1").select("label", "content", "copies")), "copied")
     whole = joined_evenly(places, copied, ["label", "content"], "copies", [], ["text_hash", "first"])
     spans = whole.select(id_col, "text_hash", F.col("first").alias("start"), (F.col("first") + F.col("windows") + (depth - 1)).alias("stop"))
     # a label of one stretch is there because its gram occurs twice; else several contents
     # are sorted, one of each; only the windows of those that occur once are still to be judged
     differing = contents.where("several or copies = 1").select("one.*", "label", (F.col("copies") == 1).alias("lone"))
-    differing = stored(differing, "differing", n)
+    differing = stored(gathered(differing), "differing")
     sizes = differing.groupBy("label").agg(F.sum(F.col("windows").cast("long") + depth).alias("bytes"))
     size, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    # all in one plan: the texts are then shuffled once for the pieces of both kinds and for what is cut out of them
     if largest and largest > hot:
         common = sizes.where(F.col("bytes") > hot).select("label")
         pieces = _fetched(keyed, differing.join(common, "label", "left_semi"), id_col, depth)
