@@ -305,6 +305,14 @@ class _Forest(Parameters):
             raise ValidationError(f"features {missing} are not in the frame")
         return self.encoder_.transform(df, unknown)
 
+    @staticmethod
+    def _outcomes(cp: CountingProcess, predict) -> DataFrame:
+        """``id, start, stop, event`` of every row with its prediction; the outcome is carried along, so no join can mix up rows."""
+        roles = {"id": cp.id, "start": cp.start, "stop": cp.stop, "event": cp.event}
+        rows = cp.df.select(*(F.col(c).alias(f"_{role}") for role, c in roles.items()), *cp.features)
+        made = predict(rows, [f"_{role}" for role in roles])
+        return made.select(*(F.col(f"_{role}").alias(role) for role in roles), *(c for c in made.columns if c[1:] not in roles))
+
     def _times(self, times) -> list[float]:
         out = self.event_times_ if times is None else [float(t) for t in times]
         if any(math.isnan(t) for t in out):
@@ -517,9 +525,7 @@ class SurvivalForestTV(_Forest):
 
     def score(self, cp: CountingProcess) -> float:
         """Concordance of mortality."""
-        rows = cp.df.withColumn("_key", F.monotonically_increasing_id())
-        scored = self.predict_mortality(rows.select("_key", *cp.features), ["_key"])
-        both = rows.select("_key", F.col(cp.id).alias("id"), F.col(cp.start).alias("start"), F.col(cp.stop).alias("stop"), F.col(cp.event).alias("event")).join(scored, "_key")
+        both = self._outcomes(cp, self.predict_mortality)
         return metrics.defined(metrics.concordance(both.withColumnRenamed("mortality", "risk")), "concordance")
 
     def _out_of_bag(self) -> None:
@@ -605,9 +611,7 @@ class CompetingRisksForestTV(_Forest):
     def score(self, cp: CountingProcess) -> float:
         """Concordance for ``score_cause``, with competing events as non-cases."""
         cause = self.causes_[self._place(self.score_cause) - 1]
-        rows = cp.df.withColumn("_key", F.monotonically_increasing_id())
-        scored = self.predict(rows.select("_key", *cp.features), ["_key"])
-        both = rows.select("_key", F.col(cp.id).alias("id"), F.col(cp.start).alias("start"), F.col(cp.stop).alias("stop"), F.col(cp.event).alias("event")).join(scored, "_key")
+        both = self._outcomes(cp, self.predict)
         return metrics.defined(metrics.concordance_competing(both, cause), "concordance")
 
     def _out_of_bag(self) -> None:

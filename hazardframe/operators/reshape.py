@@ -12,6 +12,8 @@ from hazardframe.functions import steps_below, window_exposure
 
 #: Most pieces that one row may be cut into.
 MAX_PIECES = 1000
+#: Whole numbers from here on have no exact neighbours as doubles.
+EXACT = 2.0**52
 
 
 class CategoryEncoder:
@@ -123,38 +125,28 @@ def coarsen(cp: CountingProcess, grid: list[float], lost: bool = False) -> DataF
     return kept.select(*cp.df.columns)
 
 
-def _cut_range(start: Column, stop: Column, length: float) -> tuple[Column, Column]:
-    """First and last ``k`` with ``start < k length < stop``, each corrected for rounding of the division."""
-    size = F.lit(float(length))
-    k1 = F.floor(start / size).cast("double") + 1
-    k1 = F.when(k1 * size <= start, k1 + 1).when((k1 - 1) * size > start, k1 - 1).otherwise(k1)
-    k2 = F.ceil(stop / size).cast("double") - 1
-    k2 = F.when((k2 + 1) * size < stop, k2 + 1).when(k2 * size >= stop, k2 - 1).otherwise(k2)
-    return k1.cast("long"), k2.cast("long")
-
-
 def split_blocks(cp: CountingProcess, length: float) -> DataFrame:
-    """Rows cut at the multiples of ``length``, with ``block`` (piece lies in ``(k length, (k+1) length]``) and ``piece``.
+    """Rows split so that each part lies in one block of time; adds the columns ``piece`` and ``block``.
 
-    The event stays on the last piece. Rows are cut by arithmetic alone, without a shuffle.
+    Block ``k`` is the time after ``k length`` up to ``(k + 1) length``. A row has a
+    part in every block that it meets, which are looked for among those near its
+    ends, so rounding never moves an edge: edges are always the product of a whole
+    number and the length. The last part, which ends where the row does, keeps the
+    event. This is arithmetic on each row; nothing is shuffled.
     """
-    k1, k2 = _cut_range(F.col(cp.start), F.col(cp.stop), length)
-    rows = cp.df.withColumns({"_k1": k1, "_k2": k2})
-    wide = F.col("_k2") - F.col("_k1") + 2 > MAX_PIECES
-    checked = F.when(wide, F.raise_error(F.lit(f"a row has more than {MAX_PIECES} blocks; use a larger length")).cast("bigint")).otherwise(F.col("_k1"))
-    rows = rows.withColumn("block", F.explode(F.sequence(checked - 1, F.greatest(F.col("_k2"), F.col("_k1") - 1))))
-    last = F.col("block") == F.greatest(F.col("_k2"), F.col("_k1") - 1)
-    first = F.col("block") == F.col("_k1") - 1
-    none = F.lit(0).cast(cp.df.schema[cp.event].dataType)
-    rows = rows.withColumns(
-        {
-            "piece": F.col("block") - F.col("_k1") + 1,
-            "_a": F.when(first, F.col(cp.start)).otherwise(F.col("block") * F.lit(float(length))),
-            "_z": F.when(last, F.col(cp.stop)).otherwise((F.col("block") + 1) * F.lit(float(length))),
-            "_e": F.when(last, F.col(cp.event)).otherwise(none),
-        }
-    )
-    return rows.withColumns({cp.start: F.col("_a"), cp.stop: F.col("_z"), cp.event: F.col("_e")}).drop("_a", "_z", "_e", "_k1", "_k2")
+    size = F.lit(float(length))
+    start, stop = F.col(cp.start).cast("double"), F.col(cp.stop).cast("double")
+    begins, ends = lambda k: k.cast("double") * size, lambda k: (k + 1).cast("double") * size
+    failed = lambda why: F.raise_error(F.lit(why)).cast("array<bigint>")
+    many = failed(f"a row meets over {MAX_PIECES} blocks of length {length}: take longer blocks")
+    far = failed(f"times of 2^52 blocks of length {length} and more have no exact edges: take longer blocks or another unit of time")
+    near = F.when(F.greatest(F.abs(start), F.abs(stop)) / size >= EXACT, far).when((stop - start) / size > MAX_PIECES, many).otherwise(F.sequence(F.floor(start / size) - 1, F.floor(stop / size) + 1))
+    met = F.filter(near, lambda k: (begins(k) < stop) & (ends(k) > start))
+    rows = cp.df.withColumn("_met", met).withColumn("_met", F.when(F.size("_met") > MAX_PIECES, many).otherwise(F.col("_met")))
+    parts = rows.select(*cp.df.columns, F.posexplode("_met").alias("piece", "block")).withColumn("piece", F.col("piece").cast("long"))
+    k = F.col("block")
+    event = F.when(ends(k) >= stop, F.col(cp.event)).otherwise(F.lit(0).cast(cp.df.schema[cp.event].dataType))
+    return parts.withColumns({cp.start: F.greatest(start, begins(k)), cp.stop: F.least(stop, ends(k)), cp.event: event})
 
 
 def block_units(pieces: DataFrame, id: str = "id") -> DataFrame:

@@ -96,6 +96,8 @@ def test_blocks(spark):
     assert len(third) == 10 and all(a.stop == b.start for a, b in zip(third, third[1:], strict=False))
     with pytest.raises(Exception, match="blocks"):
         reshape.split_blocks(cp_of(spark, [(0, 0.0, 5000.0, 1)]), 1.0).collect()
+    with pytest.raises(Exception, match="exact edges"):
+        reshape.split_blocks(cp_of(spark, [(0, 2.0**52, 2.0**52 + 2, 1)]), 1.0).collect()
 
 
 def test_coarsen(spark):
