@@ -306,3 +306,79 @@ def depth0_forest(spark, sf_dir):
     fitted = forest.fit(cp.with_df(cp.df, features=("price", "acctbal")))
     w = est.running([], "t")
     return rounded(fitted.leaves.groupBy("t").agg(F.sum("jump").alias("jump")).select("t", F.sum("jump").over(w).alias("cumhaz")))
+
+
+def _stump_sql(causes: list[int]) -> str:
+    """The best split of all rows on two coarse features, and the hazards of its two sides: up to ``best`` and ``jumps``.
+
+    ``causes`` are scored one by one and added up; without any, events of all causes are one.
+    """
+    hits = [f"event = {c}" for c in causes] or ["event != 0"]
+    counts = ", ".join(f"count(*) filter (s.stop = ev.t and {h}) as d{j}, count(*) filter (l and s.stop = ev.t and {h}) as e{j}" for j, h in enumerate(hits))
+    sums = ", ".join(
+        f"sum(case when y >= 2 and d{j} > 0 then e{j} - d{j} * yl / y end) as u{j}, sum(case when y >= 2 and d{j} > 0 then d{j} * (yl / y) * (1 - yl / y) * (y - d{j}) / (y - 1) end) as v{j}" for j in range(len(hits))
+    )
+    total = " + ".join(f"case when v{j} > 1e-12 then u{j} * u{j} / v{j} else 0 end" for j in range(len(hits)))
+    split = ", ".join(f"count(*) filter (x.stop = ev.t and {h}) as d{j}" for j, h in enumerate(hits))
+    return (
+        CP_SQL
+        + f""", x as (select id, start, stop, event, cast(floor(price / 50000) as double) as pband, cast(floor(acctbal / 2500) as double) as aband from cp),
+ dv as (select 0 as feature_no, pband as v from x group by 1, 2 union all select 1, aband from x group by 1, 2),
+ e as (select feature_no, v + (lead(v) over (partition by feature_no order by v) - v) / 2 as threshold from dv qualify threshold is not null),
+ s as (select x.*, feature_no, threshold, case when feature_no = 0 then pband else aband end <= threshold as l from x cross join e),
+ units as (select feature_no, threshold, least(count(distinct case when l then id end), count(distinct case when not l then id end)) as n_ids,
+   least(count(*) filter (l and event != 0), count(*) filter (not l and event != 0)) as n_events from s group by 1, 2),
+ ev as (select distinct stop as t from x where event != 0),
+ rr as (select feature_no, threshold, ev.t, count(*) as y, count(*) filter (l) as yl, {counts} from s join ev on s.start < ev.t and ev.t <= s.stop group by 1, 2, 3),
+ sc as (select feature_no, threshold, {sums} from rr group by 1, 2),
+ best as (select feature_no, threshold from sc join units using (feature_no, threshold) where n_ids >= 15 and n_events >= 3 order by {total} desc, feature_no, threshold limit 1),
+ routed as (select x.id, x.start, x.stop, x.event, case when feature_no = 0 then pband else aband end <= threshold as side from x cross join best),
+ jumps as (select side, ev.t, count(*) as y, {split} from routed x join ev on x.start < ev.t and ev.t <= x.stop group by 1, 2)"""
+    )
+
+
+STUMP_TIMES = [200.0, 600.0, 1200.0, 2500.0]
+_ASKED = f" asked as (select id, start, side, tt.t from routed cross join (select unnest({STUMP_TIMES}) as t) tt)"
+
+
+def _stump(spark, sf_dir, kind: str):
+    from hazardframe.forest import CompetingRisksForestTV, SurvivalForestTV
+
+    cp = orders_cp(spark, sf_dir)
+    bands = cp.df.withColumns({"pband": F.floor(F.col("price") / 50000).cast("double"), "aband": F.floor(F.col("acctbal") / 2500).cast("double")})
+    cp = cp.with_df(bands, features=("pband", "aband"))
+    made = (CompetingRisksForestTV if kind == "competing" else SurvivalForestTV)(n_estimators=1, max_depth=1, max_samples=1.0, min_ids_leaf=15, min_events_leaf=3, max_features=None)
+    return made.fit(cp), cp.df
+
+
+@query("stump_nodes", _stump_sql([]) + " select case feature_no when 0 then 'pband' else 'aband' end as feature, threshold from best")
+def stump_nodes(spark, sf_dir):
+    """A grown tree of one split: where it splits."""
+    return _stump(spark, sf_dir, "survival")[0].nodes.where("feature is not null").select("feature", "threshold")
+
+
+@query("stump_cumhaz", _stump_sql([]) + "," + _ASKED + """
+select asked.id, asked.start, asked.t, round(coalesce(sum(d0 / y), 0), 9) as cumhaz from asked left join jumps on jumps.side = asked.side and jumps.t <= asked.t group by 1, 2, 3""")
+def stump_cumhaz(spark, sf_dir):
+    """Hazards that a grown tree predicts for every row."""
+    forest, rows = _stump(spark, sf_dir, "survival")
+    return rounded(forest.predict_cumulative_hazard(rows, ["id", "start"], STUMP_TIMES), 9)
+
+
+@query("stump_risk", _stump_sql([]) + """ select r.id, r.start, round(1 - exp(-coalesce(sum(d0 / y), 0)), 9) as risk
+from routed r left join jumps on jumps.side = r.side and jumps.t <= 600 group by 1, 2""")
+def stump_risk(spark, sf_dir):
+    """Risks by a horizon that a grown tree predicts for every row."""
+    forest, rows = _stump(spark, sf_dir, "survival")
+    return rounded(forest.predict_risk(rows, ["id", "start"], 600.0), 9)
+
+
+@query("stump_cif", _stump_sql([1, 2]) + "," + _ASKED + """,
+ aj as (select side, t, d0 / y as h1, d1 / y as h2, coalesce(product(1 - (d0 + d1) / y) over (partition by side order by t rows between unbounded preceding and 1 preceding), 1) as before from jumps),
+ inc as (select side, t, cast(1 as bigint) as cause, before * h1 as f from aj union all select side, t, cast(2 as bigint), before * h2 from aj)
+select asked.id, asked.start, asked.t, c.cause, round(coalesce(sum(f), 0), 9) as cif from asked cross join (select unnest([1, 2])::bigint as cause) c
+  left join inc on inc.side = asked.side and inc.t <= asked.t and inc.cause = c.cause group by 1, 2, 3, 4""")
+def stump_cif(spark, sf_dir):
+    """Incidences that a grown competing-risks tree, split on the sum of both causes' statistics, predicts for every row."""
+    forest, rows = _stump(spark, sf_dir, "competing")
+    return rounded(forest.predict_cumulative_incidence(rows, ["id", "start"], STUMP_TIMES), 9)
