@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from hazardframe.plans.registry import query
+from hazardframe.storage import fresh_path
 from hazardframe.streaming.intervals import interval_stream
 
 
@@ -22,8 +21,8 @@ def intervals(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
     events = events.withColumn("label", F.when(F.col("event_type") == "error", 1).otherwise(0))
-    name = f"intervals_{uuid.uuid4().hex}"
-    stream = interval_stream(events, "user_id", "ts", "label", "value", "36500 days").writeStream.format("memory").queryName(name).outputMode("append").start()
-    stream.processAllAvailable()
-    stream.stop()
-    return spark.table(name)
+    rows = interval_stream(events, "user_id", "ts", "label", "value", "36500 days")
+    path = fresh_path(spark, "intervals")
+    stream = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
