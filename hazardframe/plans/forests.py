@@ -338,7 +338,7 @@ def _stump_sql(causes: list[int]) -> str:
 
 
 STUMP_TIMES = [200.0, 600.0, 1200.0, 2500.0]
-_ASKED = f" asked as (select id, start, side, tt.t from routed cross join (select unnest({STUMP_TIMES}) as t) tt)"
+_ASKED = f" asked as (select id, start, side, tt.t from routed cross join (select unnest({STUMP_TIMES}::double[]) as t) tt)"
 
 
 def _stump(spark, sf_dir, kind: str):
