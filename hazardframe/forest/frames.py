@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazardframe.functions import hash31
+from hazardframe.functions import hash31, hash_cell, numbered
 from hazardframe.operators.estimators import product_limit
 
 NODES = "tree int, node int, feature string, threshold double, missing string, left int, right int, leaf int"
@@ -30,13 +30,23 @@ def draw_bags(units: DataFrame, unit: str, n_trees: int, n_draw: int, seed: int,
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     if not bootstrap:
         rows = units.select(F.col(unit), trees).withColumn("_h", hash31(F.lit(seed), F.col("tree"), F.col(unit)))
-        w = Window.partitionBy("tree").orderBy("_h", unit)
-        return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_draw).select("tree", unit, F.lit(1).alias("copies"))
+        rows = rows.withColumn("_cell", hash_cell(F.col("_h")))
+        # the cell of hashes where a tree's bag is full; only its units are ordered
+        upto = F.sum("_n").over(Window.partitionBy("tree").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
+        counts = rows.groupBy("tree", "_cell").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
+        last = counts.where((F.col("_upto") >= n_draw) & (F.col("_upto") - F.col("_n") < n_draw))
+        last = last.select("tree", F.col("_cell").alias("_last"), (n_draw - F.col("_upto") + F.col("_n")).alias("_left"))
+        dealt = rows.join(F.broadcast(last), "tree", "left")  # a row a tree; none for a bag of all units and more
+        whole = dealt.where(F.col("_last").isNull() | (F.col("_cell") < F.col("_last")))
+        place = F.row_number().over(Window.partitionBy("tree").orderBy("_h", unit))
+        some = dealt.where(F.col("_cell") == F.col("_last")).withColumn("_r", place).where(F.col("_r") <= F.col("_left"))
+        return whole.select("tree", unit).unionAll(some.select("tree", unit)).withColumn("copies", F.lit(1))
     total = units.count()
-    numbered = units.select(F.col(unit), (F.row_number().over(Window.orderBy(hash31(F.lit(seed), F.col(unit)), unit)) - 1).cast("long").alias("_n"))
+    h = hash31(F.lit(seed), F.col(unit))
+    every = numbered(units.select(unit), "_n", [h, unit], hash_cell(h))
     draws = units.sparkSession.range(n_trees * n_draw).select((F.col("id") / n_draw).cast("int").alias("tree"), (F.col("id") % n_draw).alias("_i"))
     draws = draws.withColumn("_n", hash31(F.lit(seed + 1), F.col("tree"), F.col("_i")) % total)
-    return draws.join(numbered, "_n").groupBy("tree", unit).agg(F.count("*").cast("int").alias("copies"))
+    return draws.join(every, "_n").groupBy("tree", unit).agg(F.count("*").cast("int").alias("copies"))
 
 
 def route_column(nodes: list, tree: int) -> Column:

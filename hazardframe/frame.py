@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazardframe.errors import ValidationError
+from hazardframe.functions import numbered, value_cell
 
 #: Most causes that a target may have.
 MAX_CAUSES = 255
@@ -172,10 +173,14 @@ def encode_causes(cp: CountingProcess, causes: list[int] | None = None) -> tuple
 
 
 def unit_codes(df: DataFrame, unit: str, row_key: str) -> DataFrame:
-    """``unit_code`` numbers the units from 0 in the order of their first ``row_key``."""
+    """``unit_code`` numbers the units from 0 in the order of their first ``row_key``.
+
+    Row keys that are no numbers are ordered in one task, as no bounded set of cells follows their order.
+    """
     first = df.groupBy(unit).agg(F.min(row_key).alias("_first"))
-    codes = first.select(F.col(unit), (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("unit_code"))
-    return df.join(codes, unit)
+    cell, follows = value_cell(first, "_first")
+    codes = numbered(first, "unit_code", ["_first"], cell if follows else F.lit(0).cast("long"))
+    return df.join(codes.drop("_first"), unit)
 
 
 def fingerprint(df: DataFrame, options: dict | None = None) -> str:

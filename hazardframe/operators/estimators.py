@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hazardframe.frame import CountingProcess
-from hazardframe.functions import running
+from hazardframe.functions import running, running_sum
 
 
 def _names(n: int) -> list[str]:
@@ -113,8 +113,8 @@ def event_windows(cp: CountingProcess, n: int = 8) -> list[float]:
 def event_window_table(cp: CountingProcess, n: int = 8) -> DataFrame:
     """The inner and last edges of :func:`event_windows` as ``t``."""
     times = cp.df.where(F.col(cp.event) != 0).groupBy(F.col(cp.stop).cast("double").alias("t")).agg(F.count("*").alias("d"))
-    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = times.select("t", F.sum("d").over(w).alias("upto"), "d", F.sum("d").over(Window.partitionBy()).alias("total"))
+    total = times.agg(F.sum("d").alias("total"))
+    ranked = running_sum(times, "upto", "d", "t").crossJoin(F.broadcast(total))  # one row
     holds = F.expr(f"(upto * {n}) div total > ((upto - d) * {n}) div total")
     return ranked.where(holds & (F.col("t") > 0)).select("t")
 

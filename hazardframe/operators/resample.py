@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hazardframe.functions import hash31
+from hazardframe.functions import hash31, hash_cell, numbered, value_cell
 
 
 def fold_windows(times: DataFrame, time: str, n_splits: int, test_size: float) -> list[tuple[int, float, float]]:
@@ -35,8 +35,9 @@ def rolling_origin(df: DataFrame, time: str, n_splits: int, test_size: float, ga
 
 def group_folds(df: DataFrame, group: str, n_splits: int, seed: int = 0) -> DataFrame:
     """``group, fold``: folds of nearly equal numbers of groups, by rank of a hash of the group."""
-    groups = df.select(group).distinct()
-    return groups.withColumn("fold", F.pmod(F.row_number().over(Window.orderBy(hash31(F.lit(seed), F.col(group)), group)) - 1, F.lit(n_splits)).cast("int"))
+    h = hash31(F.lit(seed), F.col(group))
+    groups = numbered(df.select(group).distinct(), "_n", [h, group], hash_cell(h))
+    return groups.select(group, F.pmod("_n", F.lit(n_splits)).cast("int").alias("fold"))
 
 
 def balanced_group_folds(sizes: list[tuple[object, int]], n_splits: int) -> dict[object, int]:
@@ -80,10 +81,14 @@ def singleton_rows(df: DataFrame, strata: list[str]) -> DataFrame:
 
 
 def bootstrap_ids(df: DataFrame, id: str, seed: int, n: int) -> DataFrame:
-    """``rep, draw, id``: ids drawn with replacement, as many as there are, in each of ``n`` repetitions."""
+    """``rep, draw, id``: ids drawn with replacement, as many as there are, in each of ``n`` repetitions.
+
+    Draws take ids by their number, in the order of numeric ids and of a hash of others.
+    """
     ids = df.select(id).distinct()
-    numbered = ids.select(id, (F.row_number().over(Window.orderBy(id)) - 1).cast("long").alias("_n"))
+    cell, follows = value_cell(ids, id)
+    every = numbered(ids, "_n", [id] if follows else [F.xxhash64(id), id], cell)
     total = ids.agg(F.count("*").alias("_total"))
-    slots = numbered.select(F.col("_n").alias("draw")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    slots = every.select(F.col("_n").alias("draw")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     slots = slots.crossJoin(F.broadcast(total)).withColumn("_n", hash31(F.lit(seed), F.col("rep"), F.col("draw")) % F.col("_total"))  # one row
-    return slots.join(numbered, "_n").select("rep", "draw", id)
+    return slots.join(every, "_n").select("rep", "draw", id)

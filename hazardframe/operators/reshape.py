@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from hazardframe.errors import ValidationError
 from hazardframe.frame import CountingProcess
-from hazardframe.functions import steps_below, window_exposure
+from hazardframe.functions import clock_cell, numbered, steps_below, window_exposure
 
 #: Most pieces that one row may be cut into.
 MAX_PIECES = 1000
@@ -86,7 +86,7 @@ def impute_locf(df: DataFrame, id: str, order: str, columns: list[str]) -> DataF
 def exact_grid(cp: CountingProcess) -> DataFrame:
     """The distinct times of events of any cause: ``k`` from 0 and ``t``."""
     times = cp.df.where(F.col(cp.event) != 0).select(F.col(cp.stop).cast("double").alias("t")).distinct()
-    return times.select((F.row_number().over(Window.orderBy("t")) - 1).alias("k"), "t")
+    return numbered(times, "k", ["t"], clock_cell(F.col("t"))).select("k", "t")
 
 
 def quantile_grid(cp: CountingProcess, size: int) -> DataFrame:
